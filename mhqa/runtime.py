@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder, so that several readers share one computation and a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once, as Parquet, to a new table in the shared checkpoint folder, and read again.
+
+    Several readers then share one computation, columns are pruned on reading, the lineage is cut, and a lost executor costs nothing. The
+    table stays until the folder is cleared, as checkpoints do.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def size_in_bytes(df: DataFrame) -> int:
