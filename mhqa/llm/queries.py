@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mhqa.llm import langid, pairs, privacy, textforms, tokenize, truncation, units
+from mhqa.llm import langid, leakage, pairs, privacy, textforms, tokenize, truncation, units
 from mhqa.runtime import table
 
 
@@ -37,6 +37,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "kind", "begin_at").distinct()
 
@@ -45,6 +53,6 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p5_found, p7_ids, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p5_found, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {}
