@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mhqa.llm import langid, leakage, pairs, privacy, textforms, tokenize, truncation, units
+from mhqa.llm import alignment, langid, leakage, pairs, privacy, textforms, tokenize, truncation, units
 from mhqa.runtime import table
 
 
@@ -27,6 +27,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "instances"), table(spark, sf_dir, "languages"), table(spark, sf_dir, "hotpot_sources"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.pairs(table(spark, sf_dir, "paragraph_drafts"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     instances = table(spark, sf_dir, "instances")
     texts = units.sentences(instances).unionByName(units.field(instances, "answer", "answer_language"))
@@ -53,6 +57,6 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p5_found, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p4_found, p5_found, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {}
