@@ -148,6 +148,20 @@ def comparison_form(text: str | None) -> str:
     return " ".join((out.lower() if out.isascii() else unicodedata.normalize("NFKC", out).casefold()).split())
 
 
+_ACCENTS = re.compile("[̀-ͯ]")
+
+
+def plain(text: str) -> str:
+    """A coarser key than ``comparison_form`` for long texts: compatibility form, case-folded, mixed words in one script, without accents; spaces stay."""
+    if text.isascii():
+        return text.lower()
+    if _INVISIBLE.search(text):
+        text = _INVISIBLE.sub("", text)
+    if _MIXED.search(text):
+        text = _WORD.sub(lambda m: _one_script(m.group())[0] if len(_scripts(m.group())) > 1 else m.group(), text)
+    return _ACCENTS.sub("", unicodedata.normalize("NFKD", text).casefold())
+
+
 _NORMALISED = T.StructType([T.StructField("form", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType(), False))])
 
 
