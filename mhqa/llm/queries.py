@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mhqa.llm import alignment, langid, leakage, pairs, privacy, textforms, tokenize, truncation, units
+from mhqa.llm import alignment, langid, leakage, overlap, pairs, privacy, textforms, tokenize, truncation, units
 from mhqa.runtime import table
 
 
@@ -37,6 +37,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textforms.deviating(texts.where("text is not null and text != ''")).select("id", "paragraph_id", "sentence_id").distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf_dir, "instances"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, sf_dir, "instances"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -57,6 +65,6 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p4_found, p5_found, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p4_found, p5_found, p6_found, p6_report, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {}

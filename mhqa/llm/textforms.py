@@ -159,7 +159,7 @@ def plain(text: str) -> str:
         text = _INVISIBLE.sub("", text)
     if _MIXED.search(text):
         text = _WORD.sub(lambda m: _one_script(m.group())[0] if len(_scripts(m.group())) > 1 else m.group(), text)
-    return _ACCENTS.sub("", unicodedata.normalize("NFKD", text).casefold())
+    return unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFKD", text).casefold()))
 
 
 _NORMALISED = T.StructType([T.StructField("form", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType(), False))])
