@@ -29,7 +29,8 @@ _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४
 GRAM, WINDOW = 3, 4
 #: A word is common if at least this share of all texts has it; no more than (words a text) / COMMON_SHARE words can be.
 COMMON_SHARE, COMMON_LEAST = 0.0008, 12
-SHARED, LEAST_UNCOMMON = 2, 3
+#: Texts are compared if they share so many fingerprints, and this share of those of the longer one. Two thirds of equal sentences share 0.6, with a change in each still 0.4.
+SHARED, SHARED_SHARE, LEAST_UNCOMMON = 2, 0.25, 3
 SAME_SENTENCES, COVERAGE = 2 / 3, 0.6
 
 
@@ -123,15 +124,17 @@ def proper(text: str) -> set[str]:
     return {w for t in _TOKEN.findall(clean(text))[1:] if t[0].isupper() for w in tokens(t)}
 
 
-def same(a: str, b: str, common: frozenset[str]) -> bool:
-    """Whether two texts say the same about the same: the same figures, all capitalised and uncommon words of each in the other, in order, and most of the rest."""
-    x, y = tokens(a), tokens(b)
+def same(a: str, b: str, common: frozenset[str], x: list[str] | None = None, y: list[str] | None = None) -> bool:
+    """Whether two texts (of the words ``x`` and ``y``) say the same about the same: the same figures, all capitalised and uncommon words of each in the other, in order, and most of the rest."""
+    x, y = tokens(a) if x is None else x, tokens(b) if y is None else y
     if x == y:
         return True
     if not x or not y or min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
         return False
     if sorted(t for t in x if t[0].isdigit()) != sorted(t for t in y if t[0].isdigit()):
         return False
+    if len(set(x) & set(y)) < 0.3 * min(len(set(x)), len(set(y))):
+        return False
     hits = chain(x, y)
     for text, words, hit, other in ((a, x, hits[0], y), (b, y, hits[1], x)):
         if sum(hit) < COVERAGE * len(words):
@@ -151,13 +154,13 @@ def same_texts(field: str, a: str, b: str, common: frozenset[str]) -> bool:
     left, right = a.split("\n"), b.split("\n")
     if len(left) < len(right):
         left, right = right, left
-    forms = {s: tuple(tokens(s)) for s in {*left, *right}}
+    words = {s: tokens(s) for s in {*left, *right}}
     need = SAME_SENTENCES * len(left) - 1e-9
     free, found = list(range(len(right))), 0
     for k, s in enumerate(left):
-        match = next((j for j in free if forms[right[j]] == forms[s]), None)
+        match = next((j for j in free if words[right[j]] == words[s]), None)
         if match is None:
-            match = next((j for j in free if same(s, right[j], common)), None)
+            match = next((j for j in free if same(s, right[j], common, words[s], words[right[j]])), None)
         if match is not None:
             free.remove(match)
             found += 1
@@ -245,8 +248,8 @@ def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[Data
     exploded = materialise(marked(distinct, common).select("field", "split", "key", F.size("marks").alias("n"), F.explode("marks").alias("mark")))
     a = exploded.where(F.col("split") == left).select("field", "mark", F.col("key").alias("key_left"), F.col("n").alias("n_left"))
     b = exploded.where(F.col("split") == right).select("field", "mark", F.col("key").alias("key_right"), F.col("n").alias("n_right"))
-    shared = a.join(b, ["field", "mark"]).where("key_left != key_right").groupBy("field", "key_left", "key_right").agg(F.count("*").alias("shared"), F.least(F.first("n_left"), F.first("n_right")).alias("n"))
-    candidates = shared.where(F.col("shared") >= F.least(F.lit(SHARED), F.col("n")))
+    shared = a.join(b, ["field", "mark"]).where("key_left != key_right").groupBy("field", "key_left", "key_right").agg(F.count("*").alias("shared"), F.least(F.first("n_left"), F.first("n_right")).alias("n"), F.greatest(F.first("n_left"), F.first("n_right")).alias("most"))
+    candidates = shared.where((F.col("shared") >= F.least(F.lit(SHARED), F.col("n"))) & (F.col("shared") >= SHARED_SHARE * F.col("most")))
     of_left = distinct.where(F.col("split") == left).select("field", F.col("key").alias("key_left"), F.col("text").alias("text_left"))
     of_right = distinct.where(F.col("split") == right).select("field", F.col("key").alias("key_right"), F.col("text").alias("text_right"))
     words = spark.sparkContext.broadcast(common)
