@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -24,9 +25,11 @@ from mhqa.runtime import materialise
 
 _IDEO = "㐀-鿿぀-ヿ"
 _TOKEN = re.compile(rf"[{_IDEO}]|\d+|[^\W\d_{_IDEO}]+")
+_OTHER_DIGIT = re.compile("[٠-٩۰-۹०-९]")
 _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९", "0123456789" * 3)
 
 GRAM, WINDOW = 3, 4
+ROLL, MASK, BEHIND = 1_000_003, (1 << 61) - 1, 1 << 61
 #: A word is common if at least this share of all texts has it; no more than (words a text) / COMMON_SHARE words can be.
 COMMON_SHARE, COMMON_LEAST = 0.0008, 12
 #: Texts are compared if they share so many fingerprints, and this share of those of the longer one. Two thirds of equal sentences share 0.6, with a change in each still 0.4.
@@ -36,23 +39,28 @@ SAME_SENTENCES, COVERAGE = 2 / 3, 0.6
 
 def tokens(text: str) -> list[str]:
     """Words, figures and ideographs, without case, accents, punctuation and differences of character form."""
-    return _TOKEN.findall(plain(text.translate(_DIGITS) if not text.isascii() else text))
+    if not text.isascii() and _OTHER_DIGIT.search(text):
+        text = text.translate(_DIGITS)
+    return _TOKEN.findall(plain(text))
+
+
+@lru_cache(maxsize=200_000)
+def _code(word: str) -> int:
+    return zlib.crc32(word.encode())
 
 
 def fingerprints(words: list[str], common: frozenset[str]) -> list[int]:
     """Winnowed hashes of word triples. Triples of common words alone are selected only where a window has no other, and kept only if few others come out."""
     if not words:
         return []
-    grams = [(all(w in common for w in words[i : i + GRAM]), zlib.crc32(" ".join(words[i : i + GRAM]).encode())) for i in range(max(1, len(words) - GRAM + 1))]
-    chosen, last = set(), None
-    for i in range(max(1, len(grams) - WINDOW + 1)):
-        window = grams[i : i + WINDOW]
-        least = min(window)
-        if least != last:
-            chosen.add(least)
-            last = least
-    rare = [h for usual, h in chosen if not usual]
-    return sorted(rare if len(rare) >= LEAST_UNCOMMON else [h for _, h in chosen])
+    codes, usual = [_code(w) for w in words], [w in common for w in words]
+    if len(words) < GRAM:
+        return [sum(c * ROLL**k for k, c in enumerate(codes)) & MASK]
+    # Each triple's hash follows from its words' codes by rolling; a triple of common words sorts behind all others.
+    grams = [((a * ROLL + b) * ROLL + c & MASK) + (BEHIND if x and y and z else 0) for a, b, c, x, y, z in zip(codes, codes[1:], codes[2:], usual, usual[1:], usual[2:])]
+    chosen = {min(grams[i : i + WINDOW]) for i in range(max(1, len(grams) - WINDOW + 1))}
+    rare = [h for h in chosen if h < BEHIND]
+    return sorted(rare if len(rare) >= LEAST_UNCOMMON else chosen)
 
 
 def near(a: str, b: str) -> bool:
