@@ -96,7 +96,8 @@ def score_from_text(text: Column) -> Column:
     """The score that a judge's text states: after the word SCORE, else the last number of one to three digits; within 0 to 100, null if there is none."""
     stated = F.nullif(F.regexp_extract(text, r"(?i)SCORE\s*[:\-]?\s*(\d{1,3})", 1), F.lit(""))
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\b(\d{1,3})\b"), F.lit(1)), F.lit(-1))
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(stated, last).cast("int")))
+    number = F.coalesce(stated, last).cast("int")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), number)))  # greatest and least skip nulls
 
 
 def explanation(text: Column) -> Column:
