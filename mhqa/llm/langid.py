@@ -54,7 +54,7 @@ _PIECE_END = re.compile(r"(?<=[.!?…؟۔])\s+|(?<=[。！？।॥])\s*|[\n\r]+
 _LETTER = {s: re.compile(f"[{r}]") for s, r in _SCRIPT_RANGES.items()}
 
 MIN_WORDS, MIN_CHARS, MARGIN = 2, 8, 0.06
-FIT_ROWS, FIT_TEXTS, DICTIONARY_BYTES, LEVEL, CONTRADICTION = 20_000, 1_000, 32_768, 9, 0.25
+FIT_ROWS, FIT_TEXTS, DICTIONARY_BYTES, LEVEL, CONTRADICTION, MINOR = 20_000, 1_000, 32_768, 9, 0.25, 0.1
 
 
 def _drop_capitalised(match: re.Match) -> str:
@@ -201,12 +201,14 @@ def _consistent(found: dict[str, list[tuple[int, str]]], size: int) -> dict[str,
         for rank, text in entries:
             halves[zlib.crc32(text.encode()) & 1][language].append((rank, text))
     kept: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    most = max((len(v) for v in found.values()), default=0)
     for half, other in (halves, halves[::-1]):
         judge = Classifier(_contents(other, size))
         for language, entries in half.items():
             for rank, text in entries:
                 judged, confidence = judge.masked(text)
-                if judged in (None, language) or confidence < CONTRADICTION:
+                unjudged = language not in judge.by and len(found[language]) >= MINOR * most  # too little of it to have it in both halves
+                if judged in (None, language) or confidence < CONTRADICTION or unjudged:
                     kept[language].append((rank, text))
     return kept
 

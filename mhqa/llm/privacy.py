@@ -235,7 +235,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 strong = _PHONE_FORM.match(value)
                 cue = text[start:end]
                 if strong and (extra or near) or near and cue not in (" or ", " au ", " / ", "unter ") and len(between.strip(" .:：()")) <= 12:
-                    found["phone", m.start()] = m.end()
+                    found["phone", m.start()] = m.start() + len(value.rstrip(" \t\u00a0().-/"))
                     tried.add(m.start())
     out: list[tuple[str, int, int]] = []
     for (kind, begin), end in sorted(found.items(), key=lambda x: (x[0][1], -x[1])):

@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 
 # -- fixed values: code points -----------------------------------------------------------------------------------------
 #: Spaces other than U+0020, with the line and tab controls.
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85   -     　"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0  -     　"
 #: Default-ignorable and other invisible characters, but the non-joiner U+200C.
 INVISIBLE = (
-    "\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f­͏؜ᅟᅠ឴឵᠋-᠏​‍-‏‪-‮"
-    "⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
+    "\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\xad͏؜ᅟᅠ឴឵᠋-᠏​‍-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸"
+    "\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 )
 #: Full-width digits and Latin letters, Latin ligatures and digraph letters.
 WIDE = "０-９Ａ-Ｚａ-ｚ"

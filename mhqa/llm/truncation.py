@@ -51,12 +51,12 @@ def body(text: str) -> tuple[str, bool, bool]:
         text = text[: marked.start()].rstrip()
     stripped = text.rstrip(TERMINAL + CLOSING + " ")
     ended = any(c in TERMINAL for c in text[len(stripped) :])
-    return text.rstrip(TERMINAL + " "), ended, bool(marked)
+    return text.rstrip(TERMINAL + " "), ended, bool(marked and marked.start())
 
 
 def mask(text: str) -> str:
-    """``text`` with closed quotations as T, runs of capitalised words as N and figures as 0; an open quotation keeps its mark."""
-    text = _OPEN.sub("“", _QUOTED.sub("T", text))
+    """``text`` with closed quotations as §, runs of capitalised words as N and figures as 0; an open quotation keeps its mark."""
+    text = _OPEN.sub("“", _QUOTED.sub("§", text))
     text = _NAME.sub(lambda m: "N" if m.group()[0].isupper() else m.group(), text) if any(c.islower() for c in text) else _NAME.sub("N", text)
     return _FIGURE.sub("0", _NAMES.sub("N", text))
 
