@@ -52,8 +52,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; used before any explicit broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
