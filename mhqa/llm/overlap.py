@@ -251,7 +251,7 @@ def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[Data
     spark = instances.sparkSession
     records = instances.where(F.col("source_split").isin(left, right)).select("id", "source_split", "shard", "question", F.transform("candidates", lambda c: c["source_sentences"]).alias("candidates"))
     table = materialise(text_table(records))
-    distinct = materialise(table.groupBy("field", "split", "key").agg(F.first("text").alias("text")))
+    distinct = materialise(table.groupBy("field", "split", "key").agg(F.min("text").alias("text")))
     common = common_words(distinct)
     exploded = materialise(marked(distinct, common).select("field", "split", "key", F.size("marks").alias("n"), F.explode("marks").alias("mark")))
     a = exploded.where(F.col("split") == left).select("field", "mark", F.col("key").alias("key_left"), F.col("n").alias("n_left"))
