@@ -117,6 +117,11 @@ def flag_counts(flagged: DataFrame) -> DataFrame:
 NAMES = {name: code for code, name, _ in LANGUAGES}
 
 
+def legacy_language(cell: Column) -> Column:
+    """The code of the language that a legacy cell (VARIANT) names, null if it names none."""
+    return F.element_at(F.create_map(*[F.lit(x) for n, c in NAMES.items() for x in (n, c)]), F.try_variant_get(cell, "$", "string"))
+
+
 def legacy_issues(rows: DataFrame) -> DataFrame:
     """``rows`` with ``issues``: sorted codes of what keeps a legacy row from becoming a record.
 

@@ -20,6 +20,7 @@ from mhqa.sources.readers import file_facts
 def exclusive(path: str) -> Iterator[None]:
     """A lock file beside ``path``; ContractError if another run holds it."""
     lock = f"{path}.lock"
+    os.makedirs(os.path.dirname(os.path.abspath(lock)), exist_ok=True)
     try:
         os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
     except FileExistsError as error:
