@@ -67,4 +67,16 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p4_found, p5_found, p6_found, p6_report, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
 
-SQL: dict[str, str] = {}
+# The rules of p5_found as patterns; what SQL lacks is the case of whole words of look-alikes in another script.
+_L, _C, _G, _A, _M = r"A-Za-z\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2af}\x{1e00}-\x{1eff}", r"\x{400}-\x{52f}", r"\x{370}-\x{3ff}", r"[\x{620}-\x{6ff}\x{750}-\x{77f}]", r"[\x{300}-\x{36f}]*"
+_OFF = (
+    r"[\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{200d}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{ad}\x{34f}\x{61c}\x{feff}\x{fe00}-\x{fe0f}\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}"
+    r"\x{ff41}-\x{ff5a}\x{fb00}-\x{fb06}]"
+)
+_MIXED = f"[{_L}]{_M}[{_C}{_G}]|[{_C}{_G}]{_M}[{_L}]|[{_C}]{_M}[{_G}]|[{_G}]{_M}[{_C}]"
+_JOINED = f"regexp_replace({{0}}, '({_A.replace('{', '{{').replace('}', '}}')})\\x{{{{200c}}}}({_A.replace('{', '{{').replace('}', '}}')})', '\\1\\2', 'g')"
+
+SQL: dict[str, str] = {
+    "p5_found": "WITH u AS (SELECT id, '' AS paragraph_id, -1 AS sentence_id, answer AS s FROM instances UNION ALL SELECT id, c.id, CAST(k - 1 AS INTEGER), c.sentences[k] FROM (SELECT id, c, unnest(range(1, len(c.sentences) + 1)) AS k FROM (SELECT id, unnest(candidates) AS c FROM instances)))"
+    f" SELECT DISTINCT id, paragraph_id, sentence_id FROM u WHERE s <> '' AND (nfc_normalize(s) <> s OR regexp_matches(s, '{_OFF}') OR regexp_matches({_JOINED.format(_JOINED.format('s'))}, '\\x{{200c}}') OR regexp_matches(nfc_normalize(s), '{_MIXED}'))"
+}

@@ -89,7 +89,7 @@ def _one_script(text: str) -> tuple[str, bool]:
             able = [s for s in scripts if all(c in _MAPS[o, s] for o in scripts if o != s for c in unicodedata.normalize("NFD", word) if _ONE[o].match(c))]
             changed = True
             return _to_script(word, max(able or scripts, key=lambda s: (scripts[s], s == main)))
-        if scripts and main not in scripts:
+        if scripts and main not in scripts and match.string[max(0, match.start() - 1) : match.start()] not in ("&", "\\"):  # not the rest of an escape
             (own,) = scripts
             letters = [c for c in unicodedata.normalize("NFD", word) if c.isalpha()]
             if all(c in _MAPS[own, main] for c in letters) and (own != "latin" or word.islower()) and (own not in sure or len(letters) == 1 and word.islower()):
