@@ -15,6 +15,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.mislabelled(table(spark, sf_dir, "instances"), table(spark, sf_dir, "languages"))
 
 
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instances = table(spark, sf_dir, "instances")
+    known = langid.inventory(table(spark, sf_dir, "languages"))
+    texts = units.sentences(instances).unionByName(units.field(instances, "question", "question_language"))
+    return langid.segments(texts, langid.fit(instances, known), known).drop("label").distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "instances"), table(spark, sf_dir, "languages"))
 
@@ -37,6 +44,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textforms.deviating(texts.where("text is not null and text != ''")).select("id", "paragraph_id", "sentence_id").distinct()
 
 
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    instances = table(spark, sf_dir, "instances")
+    texts = units.sentences(instances).unionByName(units.field(instances, "answer", "answer_language"))
+    return textforms.normalise(texts.where("text is not null")).select("id", "paragraph_id", "sentence_id", "form", "form_changes").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlaps(table(spark, sf_dir, "instances"))
 
@@ -65,7 +78,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_rates, p3_found, p4_found, p5_found, p6_found, p6_report, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_rates, p3_found, p4_found, p5_found, p5_forms, p6_found, p6_report, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
 
 # The rules of p5_found as patterns; what SQL lacks is the case of whole words of look-alikes in another script.
 _L, _C, _G, _A, _M = r"A-Za-z\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2af}\x{1e00}-\x{1eff}", r"\x{400}-\x{52f}", r"\x{370}-\x{3ff}", r"[\x{620}-\x{6ff}\x{750}-\x{77f}]", r"[\x{300}-\x{36f}]*"
