@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from mhqa.schemas import CODES
 
 
+#: Fixed value: the prefix of the hashed text that selects a public view.
+PUBLIC_VIEW = "xhotpotqa-public-v1|"
+
+
 def unsigned_mod(text: Column, modulus: int) -> Column:
     """The first eight bytes of the SHA-256 of ``text``, as an unsigned number, modulo ``modulus``."""
     return (F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)") % modulus).cast("int")
@@ -24,7 +28,7 @@ def assign_language(source_id: Column, unit_id: Column, seed: int) -> Column:
 
 def train_view(source_id: Column) -> Column:
     """The one of 24 views of a training source that the public release shows."""
-    return unsigned_mod(F.concat(F.lit("xhotpotqa-public-v1|"), source_id), len(CODES))
+    return unsigned_mod(F.concat(F.lit(PUBLIC_VIEW), source_id), len(CODES))
 
 
 def sample_rank(seed: int, stratum: Column, identity: Column) -> Column:

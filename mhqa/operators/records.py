@@ -69,6 +69,7 @@ def paragraph_index(identifier: Column) -> Column:
     return F.nullif(F.regexp_extract(identifier, r"^p(\d{2})$", 1), F.lit("")).cast("int")
 
 
+# -- fixed values: the names of the flags below (prefixes xhotpot:, source:, provenance:) are those of released data -------------
 def source_flags(instances: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, structural, quality): sorted flags of what a record has against its source. Records without source get the flag source:missing."""
     s = sources.select("source_id", C("question").alias("sq"), C("answer").alias("sa"), C("question_type").alias("st"), C("difficulty").alias("sd"), "context", C("supporting_facts").alias("sf"), F.lit(True).alias("known"))
