@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from mhqa.llm import langid
 from mhqa.llm.textforms import clean, comparison_form
 from mhqa.llm.truncation import PLAIN, body, truncated_units
-from mhqa.llm.truncation import mask as mask_form
 from mhqa.runtime import materialise
 
 # -- fixed values ------------------------------------------------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mhqa.llm import alignment, langid, leakage, overlap, pairs, privacy, textforms, tokenize, truncation, units
 from mhqa.runtime import table

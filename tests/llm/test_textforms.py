@@ -3,7 +3,6 @@ import unicodedata
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from mhqa.llm import textforms as T
 
