@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mhqa.functions.text import is_blank, normalize_title
-from mhqa.operators.keys import ContractError, exact_join, require_empty
+from mhqa.operators.keys import exact_join, require_empty
 from mhqa.schemas import CODES, LANGUAGES, languages
 
 C = F.col
@@ -196,5 +196,3 @@ def assignment_units(assignments: DataFrame) -> DataFrame:
     require_empty(gaps.where("first != -1 or d != n or last != n - 2"), "units aren't contiguous", "source_id")
     return ordered
 
-
-__all__ = ["ContractError", "apply_corrections", "assignment_units", "duplicate_titles", "expand", "flag_counts", "legacy_issues", "missing_manifest", "missing_reason", "paragraph_index", "relation_errors", "route", "source_flags", "view_id", "view_ids"]
