@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mhqa.llm.textforms import clean, plain
+from mhqa.llm.textforms import plain
 from mhqa.runtime import materialise
 
 _IDEO = "㐀-鿿぀-ヿ"
@@ -37,11 +37,29 @@ SHARED, SHARED_SHARE, LEAST_UNCOMMON = 2, 0.25, 3
 SAME_SENTENCES, COVERAGE = 2 / 3, 0.6
 
 
+CAPITAL = "^"
+
+
+def form_of(text: str) -> str:
+    """Words, figures and ideographs of ``text`` with single spaces between, without case, accents, punctuation and differences of character form.
+
+    A word written with a capital, but for the first one, has CAPITAL before it: names, words of titles.
+    """
+    if not text.isascii():
+        if _OTHER_DIGIT.search(text):
+            text = text.translate(_DIGITS)
+        text = plain(text, fold=False)
+    written = _TOKEN.findall(text)
+    folded = " ".join(written).casefold().split(" ")
+    return " ".join([CAPITAL + w if k and t[0].isupper() else w for k, (t, w) in enumerate(zip(written, folded))])
+
+
+def words_of(form: str) -> list[str]:
+    return form.replace(CAPITAL, "").split()
+
+
 def tokens(text: str) -> list[str]:
-    """Words, figures and ideographs, without case, accents, punctuation and differences of character form."""
-    if not text.isascii() and _OTHER_DIGIT.search(text):
-        text = text.translate(_DIGITS)
-    return _TOKEN.findall(plain(text))
+    return words_of(form_of(text))
 
 
 @lru_cache(maxsize=200_000)
@@ -127,14 +145,9 @@ def chain(a: list[str], b: list[str]) -> tuple[list[bool], list[bool]]:
     return hit_a, hit_b
 
 
-def proper(text: str) -> set[str]:
-    """Words of ``text`` that are written with a capital, but for the first one: names, words of titles."""
-    return {w for t in _TOKEN.findall(clean(text))[1:] if t[0].isupper() for w in tokens(t)}
-
-
-def same(a: str, b: str, common: frozenset[str], x: list[str] | None = None, y: list[str] | None = None) -> bool:
-    """Whether two texts (of the words ``x`` and ``y``) say the same about the same: the same figures, all capitalised and uncommon words of each in the other, in order, and most of the rest."""
-    x, y = tokens(a) if x is None else x, tokens(b) if y is None else y
+def same(a: str, b: str, common: frozenset[str]) -> bool:
+    """Whether two forms say the same about the same: the same figures, all capitalised and uncommon words of each in the other, in order, and most of the rest."""
+    x, y = words_of(a), words_of(b)
     if x == y:
         return True
     if not x or not y or min(len(x), len(y)) < 0.5 * max(len(x), len(y)):
@@ -144,31 +157,32 @@ def same(a: str, b: str, common: frozenset[str], x: list[str] | None = None, y:
     if len(set(x) & set(y)) < 0.3 * min(len(set(x)), len(set(y))):
         return False
     hits = chain(x, y)
-    for text, words, hit, other in ((a, x, hits[0], y), (b, y, hits[1], x)):
+    for form, words, hit, other in ((a, x, hits[0], y), (b, y, hits[1], x)):
         if sum(hit) < COVERAGE * len(words):
             return False
         if not all(hit):
-            names, run = proper(text), "".join(other)
+            names, run = {w[1:] for w in form.split() if w[0] == CAPITAL}, "".join(other)
             # A word may be written apart or together with the next one; else it is another name.
             if any(t not in run and not any(near(t, o) for o in other) for t, h in zip(words, hit) if not h and len(t) > 1 and (t in names or t not in common)):
                 return False
     return True
 
 
-def same_texts(field: str, a: str, b: str, common: frozenset[str]) -> bool:
-    """Whether two texts of a field overlap; source sentences come as lines."""
+def same_forms(field: str, a: str, b: str, common: frozenset[str]) -> bool:
+    """Whether two forms of a field overlap; those of source sentences come as lines."""
     if field == "question":
         return same(a, b, common)
     left, right = a.split("\n"), b.split("\n")
     if len(left) < len(right):
         left, right = right, left
-    words = {s: tokens(s) for s in {*left, *right}}
     need = SAME_SENTENCES * len(left) - 1e-9
+    bare = [s.replace(CAPITAL, "") for s in right]
     free, found = list(range(len(right))), 0
     for k, s in enumerate(left):
-        match = next((j for j in free if words[right[j]] == words[s]), None)
+        plain_s = s.replace(CAPITAL, "")
+        match = next((j for j in free if bare[j] == plain_s), None)
         if match is None:
-            match = next((j for j in free if same(s, right[j], common, words[s], words[right[j]])), None)
+            match = next((j for j in free if same(s, right[j], common)), None)
         if match is not None:
             free.remove(match)
             found += 1
@@ -177,6 +191,11 @@ def same_texts(field: str, a: str, b: str, common: frozenset[str]) -> bool:
     return found >= need
 
 
+def same_texts(field: str, a: str, b: str, common: frozenset[str]) -> bool:
+    """Whether two texts of a field overlap; source sentences come as lines."""
+    return same_forms(field, *("\n".join(map(form_of, t.split("\n"))) for t in (a, b)), common)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str]]:
     """(row, field, text) of the questions and source sentences of a batch; null and blank ones are left out."""
     for k, (question, candidates) in enumerate(zip(batch["question"].to_pylist(), batch["candidates"].to_pylist())):
@@ -188,26 +207,28 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str]]:
                 yield k, "source_sentences", "\n".join(lines)
 
 
-_TABLE = "id string, split string, shard string, field string, key long, text string"
+_TABLE = "id string, split string, shard string, field string, key long, form string"
 
 
 def text_table(records: DataFrame) -> DataFrame:
-    """One row for each text of each record, with a key that is equal for texts of equal words (for source sentences, in whatever order)."""
-    schema = pa.schema([("id", pa.string()), ("split", pa.string()), ("shard", pa.string()), ("field", pa.string()), ("key", pa.int64()), ("text", pa.string())])
+    """One row for each text of each record, its form, and a key that is equal for texts of equal words (for source sentences, in whatever order)."""
+    schema = pa.schema([("id", pa.string()), ("split", pa.string()), ("shard", pa.string()), ("field", pa.string()), ("key", pa.int64()), ("form", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], int] = {}
+        known: dict[tuple[str, str], tuple[int, str]] = {}
         for batch in batches:
             ids, splits, shards = (batch[c].to_pylist() for c in ("id", "source_split", "shard"))
             rows = []
             if len(known) > 50_000:
                 known.clear()
             for k, field, text in _texts(batch):
-                key = known.get((field, text))
-                if key is None:
-                    form = " ".join(tokens(text)) if field == "question" else "\n".join(sorted(" ".join(tokens(s)) for s in text.split("\n")))
-                    key = known[field, text] = int.from_bytes(blake2b((field[:1] + form).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                rows.append((ids[k], splits[k], shards[k], field, key, text))
+                found = known.get((field, text))
+                if found is None:
+                    lines = [form_of(s) for s in text.split("\n")]
+                    same_for_all = field[:1] + "\n".join(sorted(lines)).replace(CAPITAL, "")
+                    key = int.from_bytes(blake2b(same_for_all.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                    found = known[field, text] = key, "\n".join(lines)
+                rows.append((ids[k], splits[k], shards[k], field, *found))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return records.mapInArrow(run, _TABLE)
@@ -220,15 +241,15 @@ def common_words(distinct: DataFrame) -> frozenset[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                counts.update(set(tokens(text)))
+            for form in batch["form"].to_pylist():
+                counts.update(set(words_of(form)))
                 counts[""] += 1
             if len(counts) > 500_000:
                 yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema)
                 counts.clear()
         yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema)
 
-    counted = distinct.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).cache()
+    counted = distinct.select("form").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).cache()
     total = next((r.n for r in counted.where("word = ''").collect()), 0)
     found = frozenset(r.word for r in counted.where((F.col("n") >= COMMON_SHARE * total) & (F.col("word") != "")).select("word").collect())
     counted.unpersist()
@@ -240,10 +261,10 @@ def marked(distinct: DataFrame, common: frozenset[str]) -> DataFrame:
     words = distinct.sparkSession.sparkContext.broadcast(common)
 
     @F.arrow_udf("array<long>")
-    def marks(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprints(tokens(t), words.value) for t in texts.to_pylist()], pa.list_(pa.int64()))
+    def marks(forms: pa.Array) -> pa.Array:
+        return pa.array([fingerprints(words_of(t), words.value) for t in forms.to_pylist()], pa.list_(pa.int64()))
 
-    return distinct.withColumn("marks", marks("text"))
+    return distinct.withColumn("marks", marks("form"))
 
 
 def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
@@ -251,20 +272,20 @@ def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[Data
     spark = instances.sparkSession
     records = instances.where(F.col("source_split").isin(left, right)).select("id", "source_split", "shard", "question", F.transform("candidates", lambda c: c["source_sentences"]).alias("candidates"))
     table = materialise(text_table(records))
-    distinct = materialise(table.groupBy("field", "split", "key").agg(F.min("text").alias("text")))
+    distinct = materialise(table.groupBy("field", "split", "key").agg(F.min("form").alias("form")))
     common = common_words(distinct)
     exploded = materialise(marked(distinct, common).select("field", "split", "key", F.size("marks").alias("n"), F.explode("marks").alias("mark")))
     a = exploded.where(F.col("split") == left).select("field", "mark", F.col("key").alias("key_left"), F.col("n").alias("n_left"))
     b = exploded.where(F.col("split") == right).select("field", "mark", F.col("key").alias("key_right"), F.col("n").alias("n_right"))
     shared = a.join(b, ["field", "mark"]).where("key_left != key_right").groupBy("field", "key_left", "key_right").agg(F.count("*").alias("shared"), F.least(F.first("n_left"), F.first("n_right")).alias("n"), F.greatest(F.first("n_left"), F.first("n_right")).alias("most"))
     candidates = shared.where((F.col("shared") >= F.least(F.lit(SHARED), F.col("n"))) & (F.col("shared") >= SHARED_SHARE * F.col("most")))
-    of_left = distinct.where(F.col("split") == left).select("field", F.col("key").alias("key_left"), F.col("text").alias("text_left"))
-    of_right = distinct.where(F.col("split") == right).select("field", F.col("key").alias("key_right"), F.col("text").alias("text_right"))
+    of_left = distinct.where(F.col("split") == left).select("field", F.col("key").alias("key_left"), F.col("form").alias("text_left"))
+    of_right = distinct.where(F.col("split") == right).select("field", F.col("key").alias("key_right"), F.col("form").alias("text_right"))
     words = spark.sparkContext.broadcast(common)
 
     @F.arrow_udf("boolean")
     def holds(field: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([same_texts(f, s, t, words.value) for f, s, t in zip(field.to_pylist(), x.to_pylist(), y.to_pylist())], pa.bool_())
+        return pa.array([same_forms(f, s, t, words.value) for f, s, t in zip(field.to_pylist(), x.to_pylist(), y.to_pylist())], pa.bool_())
 
     verified = candidates.join(of_left, ["field", "key_left"]).join(of_right, ["field", "key_right"]).where(holds("field", "text_left", "text_right")).select("field", "key_left", "key_right")
     equal = of_left.select("field", "key_left", F.col("key_left").alias("key_right")).join(of_right.select("field", "key_right"), ["field", "key_right"], "left_semi").select("field", "key_left", "key_right")

@@ -151,15 +151,16 @@ def comparison_form(text: str | None) -> str:
 _ACCENTS = re.compile("[̀-ͯ]")
 
 
-def plain(text: str) -> str:
-    """A coarser key than ``comparison_form`` for long texts: compatibility form, case-folded, mixed words in one script, without accents; spaces stay."""
+def plain(text: str, *, fold: bool = True) -> str:
+    """A coarser key than ``comparison_form`` for long texts: compatibility form, case-folded (unless ``fold`` is false), mixed words in one script, without accents; spaces stay."""
     if text.isascii():
-        return text.lower()
+        return text.lower() if fold else text
     if _INVISIBLE.search(text):
         text = _INVISIBLE.sub("", text)
     if _MIXED.search(text):
         text = _WORD.sub(lambda m: _one_script(m.group())[0] if len(_scripts(m.group())) > 1 else m.group(), text)
-    return unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFKD", text).casefold()))
+    text = unicodedata.normalize("NFKD", text)
+    return unicodedata.normalize("NFC", _ACCENTS.sub("", text.casefold() if fold else text))
 
 
 _NORMALISED = T.StructType([T.StructField("form", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType(), False))])
