@@ -1,9 +1,9 @@
-"""The same or nearly the same records in different splits, by winnowed fingerprints (problem 6).
+"""The same or nearly the same records in different splits, by fingerprints (problem 6).
 
-Each text (a question, or the source sentences of a candidate) is fingerprinted: of every window of word triples the minimum of their rolling
-hashes is selected, triples with uncommon words first. Fingerprints are joined across the splits, between distinct texts only; for each pair of texts with
-enough shared fingerprints the shared triples are chained in order and the chain is extended by alignment; the pairs that hold are
-expanded to the records that have the texts.
+Each text (a question, or the source sentences of a candidate) gets marks by one rule for both sides: of a single line the uncommon words, with
+their spellings by one or two letters less, of several lines the word triples with an uncommon word; each with the figures of its line, which must be
+the same. Marks are joined across the splits, between distinct texts only, and one that is shared makes a candidate; its shared triples are chained
+in order and the chain is extended by alignment; the pairs that hold are expanded to the records that have the texts.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ _TOKEN = re.compile(rf"[{_IDEO}]|\d+|[^\W\d_{_IDEO}]+")
 _OTHER_DIGIT = re.compile("[٠-٩۰-۹०-९]")
 _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९", "0123456789" * 3)
 
-GRAM, WINDOW = 3, 4
+GRAM = 3
 ROLL, MASK, BEHIND = 1_000_003, (1 << 61) - 1, 1 << 61
 #: A word is common if at least this share of all texts has it; no more than (words a text) / COMMON_SHARE words can be.
 COMMON_SHARE, COMMON_LEAST = 0.0008, 12
-#: Texts are compared if they share so many fingerprints, and this share of those of the longer one. Two thirds of equal sentences share 0.6, with a change in each still 0.4.
-SHARED, SHARED_SHARE, LEAST_UNCOMMON = 2, 0.25, 3
+#: The marks of texts of common words alone are broadcast up to this number.
+BROADCAST_MARKS = 200_000
 SAME_SENTENCES, COVERAGE = 2 / 3, 0.6
 
 
@@ -68,17 +68,42 @@ def _code(word: str) -> int:
 
 
 def fingerprints(words: list[str], common: frozenset[str]) -> list[int]:
-    """Winnowed hashes of word triples. Triples of common words alone are selected only where a window has no other, and kept only if few others come out."""
+    """Hashes of all word triples; those of common words alone sort behind all others."""
     if not words:
         return []
     codes, usual = [_code(w) for w in words], [w in common for w in words]
     if len(words) < GRAM:
-        return [sum(c * ROLL**k for k, c in enumerate(codes)) & MASK]
-    # Each triple's hash follows from its words' codes by rolling; a triple of common words sorts behind all others.
-    grams = [((a * ROLL + b) * ROLL + c & MASK) + (BEHIND if x and y and z else 0) for a, b, c, x, y, z in zip(codes, codes[1:], codes[2:], usual, usual[1:], usual[2:])]
-    chosen = {min(grams[i : i + WINDOW]) for i in range(max(1, len(grams) - WINDOW + 1))}
-    rare = [h for h in chosen if h < BEHIND]
-    return sorted(rare if len(rare) >= LEAST_UNCOMMON else chosen)
+        return [(sum(c * ROLL**k for k, c in enumerate(codes)) & MASK) + (BEHIND if all(usual) else 0)]
+    # Each triple's hash follows from its words' codes by rolling.
+    return sorted({((a * ROLL + b) * ROLL + c & MASK) + (BEHIND if x and y and z else 0) for a, b, c, x, y, z in zip(codes, codes[1:], codes[2:], usual, usual[1:], usual[2:])})
+
+
+@lru_cache(maxsize=100_000)
+def spellings(word: str) -> tuple[int, ...]:
+    """Codes of ``word`` and of what is left without one letter or, from nine letters on, two. Two words that are ``near`` share one."""
+    found = {word}
+    if not word[0].isdigit():
+        for _ in range(2 if len(word) >= 9 else 1 if len(word) >= 4 else 0):
+            found |= {w[:k] + w[k + 1 :] for w in found for k in range(len(w))}
+    return tuple(_code(w) * ROLL & MASK for w in found)
+
+
+def marks_of(form: str, common: frozenset[str]) -> list[int]:
+    """What a text is found by: see above. A text of common words alone has its triples, BEHIND all other marks."""
+    lines = [words_of(line) for line in form.split("\n")]
+    found: set[int] = set()
+    for words in lines:
+        figures = _code(" ".join(sorted(w for w in words if w[0].isdigit())))
+        if len(lines) == 1:
+            keys = {h for w in words if w not in common for h in spellings(w)}
+        else:
+            keys = {h for h in fingerprints(words, common) if h < BEHIND}
+        found.update((h ^ figures * ROLL) & MASK for h in keys)
+    return sorted(found) or common_marks(form, common)
+
+
+def common_marks(form: str, common: frozenset[str]) -> list[int]:
+    return sorted({h for line in form.split("\n") for h in fingerprints(words_of(line), common) if h >= BEHIND})
 
 
 def near(a: str, b: str) -> bool:
@@ -156,16 +181,12 @@ def same(a: str, b: str, common: frozenset[str]) -> bool:
         return False
     if len(set(x) & set(y)) < 0.3 * min(len(set(x)), len(set(y))):
         return False
-    hits = chain(x, y)
-    for form, words, hit, other in ((a, x, hits[0], y), (b, y, hits[1], x)):
-        if sum(hit) < COVERAGE * len(words):
+    for form, words, other in ((a, x, y), (b, y, x)):
+        names, run, there = {w[1:] for w in form.split() if w[0] == CAPITAL}, "".join(other), set(other)
+        # A word may be written apart or together with the next one; else it is another name.
+        if any(t not in run and not any(near(t, o) for o in there) for t in set(words) - there if len(t) > 1 and (t in names or t not in common)):
             return False
-        if not all(hit):
-            names, run = {w[1:] for w in form.split() if w[0] == CAPITAL}, "".join(other)
-            # A word may be written apart or together with the next one; else it is another name.
-            if any(t not in run and not any(near(t, o) for o in other) for t, h in zip(words, hit) if not h and len(t) > 1 and (t in names or t not in common)):
-                return False
-    return True
+    return all(sum(hit) >= COVERAGE * len(hit) for hit in chain(x, y))
 
 
 def same_forms(field: str, a: str, b: str, common: frozenset[str]) -> bool:
@@ -256,15 +277,39 @@ def common_words(distinct: DataFrame) -> frozenset[str]:
     return found
 
 
-def marked(distinct: DataFrame, common: frozenset[str]) -> DataFrame:
-    """``distinct`` with the fingerprints of each text in ``marks``."""
+def candidate_pairs(distinct: DataFrame, common: frozenset[str], left: str, right: str) -> DataFrame:
+    """(field, key_left, key_right), distinct: the texts of the two splits that share a mark and whose numbers of lines allow an overlap.
+
+    Texts of common words alone are rare; they meet all texts by triples of common words.
+    """
     words = distinct.sparkSession.sparkContext.broadcast(common)
 
     @F.arrow_udf("array<long>")
     def marks(forms: pa.Array) -> pa.Array:
-        return pa.array([fingerprints(words_of(t), words.value) for t in forms.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([marks_of(t, words.value) for t in forms.to_pylist()], pa.list_(pa.int64()))
+
+    @F.arrow_udf("array<long>")
+    def usual(forms: pa.Array) -> pa.Array:
+        return pa.array([common_marks(t, words.value) for t in forms.to_pylist()], pa.list_(pa.int64()))
+
+    # Line breaks mean nothing in a question.
+    distinct = distinct.select("field", "split", "key", F.when(F.col("field") == "question", F.translate("form", "\n", " ")).otherwise(F.col("form")).alias("form"))
+    lines = F.size(F.split("form", "\n")).alias("lines")
+    rows = materialise(distinct.select("field", "split", "key", lines, F.explode(marks("form")).alias("mark")))
+
+    def sides(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = (t.where(F.col("split") == split).select("field", "mark", F.col("key").alias(f"key_{n}"), F.col("lines").alias(f"lines_{n}")) for t, split, n in ((a, left, "left"), (b, right, "right")))
+        fits = F.least("lines_left", "lines_right") >= SAME_SENTENCES * F.greatest("lines_left", "lines_right") - 1e-9
+        return a.join(b, ["field", "mark"]).where(fits & (F.col("key_left") != F.col("key_right"))).select("field", "key_left", "key_right")
 
-    return distinct.withColumn("marks", marks("form"))
+    found = sides(*[rows.where(F.col("mark") < BEHIND)] * 2)
+    poor = rows.where(F.col("mark") >= BEHIND)
+    n = poor.count()
+    if n:
+        every = distinct.select("field", "split", "key", lines, F.explode(usual("form")).alias("mark"))
+        few = F.broadcast(poor) if n <= BROADCAST_MARKS else poor
+        found = found.unionByName(sides(few, every)).unionByName(sides(every, few))
+    return found.distinct()
 
 
 def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
@@ -274,11 +319,7 @@ def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[Data
     table = materialise(text_table(records))
     distinct = materialise(table.groupBy("field", "split", "key").agg(F.min("form").alias("form")))
     common = common_words(distinct)
-    exploded = materialise(marked(distinct, common).select("field", "split", "key", F.size("marks").alias("n"), F.explode("marks").alias("mark")))
-    a = exploded.where(F.col("split") == left).select("field", "mark", F.col("key").alias("key_left"), F.col("n").alias("n_left"))
-    b = exploded.where(F.col("split") == right).select("field", "mark", F.col("key").alias("key_right"), F.col("n").alias("n_right"))
-    shared = a.join(b, ["field", "mark"]).where("key_left != key_right").groupBy("field", "key_left", "key_right").agg(F.count("*").alias("shared"), F.least(F.first("n_left"), F.first("n_right")).alias("n"), F.greatest(F.first("n_left"), F.first("n_right")).alias("most"))
-    candidates = shared.where((F.col("shared") >= F.least(F.lit(SHARED), F.col("n"))) & (F.col("shared") >= SHARED_SHARE * F.col("most")))
+    candidates = candidate_pairs(distinct, common, left, right)
     of_left = distinct.where(F.col("split") == left).select("field", F.col("key").alias("key_left"), F.col("form").alias("text_left"))
     of_right = distinct.where(F.col("split") == right).select("field", F.col("key").alias("key_right"), F.col("form").alias("text_right"))
     words = spark.sparkContext.broadcast(common)

@@ -85,3 +85,20 @@ def test_overlaps(spark):
     report = {(r.split, r.shard, r.field): (r.records, r.overlapping) for r in O.overlap_report(df).collect()}
     assert report["train", "a", "question"] == (30, 2) and report["validation", "b", "question"] == (2, 2) and report["validation", "c", "question"] == (1, 0)
     assert O.overlaps(df.limit(0)).count() == 0
+
+
+def test_candidates_meet_brute_force(spark):
+    usual = "Which old town lies on the river and is the birthplace of the man who wrote it?"
+    train = [f"{usual[:-1]} in {1900 + k} near Zorn{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}wick?" for k in range(60)] + [usual]
+    near = [t.replace("Zorn", "Zron") for t in train[:20]] + [t.replace("which old town lies", "which town lyes") + "\n" for t in map(str.lower, train[20:40])] + [usual.replace("river", "rivver"), train[50].replace("1950", "1850")]
+    rows = [(f"t{k}", "train", "a", q, None, 1) for k, q in enumerate(train)] + [(f"v{k}", "validation", "b", q, None, 1) for k, q in enumerate(near)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    common = O.common_words(spark.createDataFrame([(O.form_of(q),) for q in sorted({*train, *near})], "form string"))
+    every = {(f"t{i}", f"v{j}") for i, a in enumerate(train) for j, b in enumerate(near) if O.same(O.form_of(a), O.form_of(b), common)}
+    assert len(every) >= 41 and ("t60", "v40") in every
+    assert {(r.id_a, r.id_b) for r in O.overlaps(df).collect()} == every
+
+
+def test_spellings_meet():
+    for a, b in (("zorn", "zron"), ("zorn", "zorns"), ("birthplace", "brithplcae"), ("proskvall", "proksvlal"), ("abc", "abc")):
+        assert O.near(a, b) and set(O.spellings(a)) & set(O.spellings(b))
