@@ -28,8 +28,11 @@ _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|Nov
 _SENTENCE = re.compile(rf"(?<=[.!?؟।])\s+(?!(?:{_MONTHS})\b)|(?<=[。！？])")
 
 SEED_ITEMS, SEED_HITS, FIGURE = 12, 2, 0.3
-#: A token is an item's own if no larger share of the documents (or, in a small corpus, no more of them) has it.
-OWN_SHARE, OWN_DOCUMENTS = 0.004, 4
+#: Each part of so many pairs of a unit has a seed, the rarest of its pairs if there is no other.
+SEED_PART = 8
+#: A token is an item's own if no larger share of the held-out items and of the documents (or, of few, no more of them) has it; or if, of the documents, most
+#: that have it have all names of one of its units: then it leaked.
+OWN_SHARE, OWN_LEAST, LEAKED_SHARE = 0.004, 4, 0.5
 COVERAGE, OWN_COVERAGE = 0.78, 0.78
 #: With so high a coverage, fewer of the own tokens suffice: a name may be lost or run together with the next word.
 HIGH_COVERAGE, LOW_OWN_COVERAGE = 0.93, 0.6
@@ -62,28 +65,46 @@ def units_of(question: str | None, passage: str | None) -> list[tuple[str, list[
 
 
 class Reference:
-    """The units of the held-out items and the seeds that lead to them. ``items`` has (item_id, question, passage), ``documents`` the number of documents with each of their tokens."""
+    """The units of the held-out items and the seeds that lead to them. ``items`` has (item_id, question, passage), ``documents`` how many documents have each name, and have it beside all other names of a unit; without it none has."""
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]], documents: dict[str, int], total: int) -> None:
+    def __init__(self, items: list[tuple[int, str | None, str | None]], documents: dict[str, tuple[int, int]] | None = None, total: int = 0) -> None:
         self.units: list[tuple[int, str, list[str]]] = []  # item, kind, tokens
-        self.own: list[dict[int, float]] = []  # weights of the positions of capitalised tokens that few documents have, and of figures
+        self.own: list[dict[int, float]] = []  # weights of the positions of capitalised tokens that few items and documents have, and of figures
         texts = [clean(text) for _, question, passage in items for text in (question, passage) if text]
         written = {t for text in texts for t in _TOKEN.findall(text)}
         names = {plain(t) for t in written if t[0].isupper()} - {plain(t) for t in written if t.islower()}
-        rare = max(OWN_DOCUMENTS, OWN_SHARE * total)
         parts = [(item, [(k, t) for k, t in units_of(question, passage) if len(t) >= 4]) for item, question, passage in items]
-        seeds: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        with_token, with_pair = (Counter(x for _, xs in held.items() for x in xs) for held in (_of_items(parts, 1), _of_items(parts, 2)))
+        rare = max(OWN_LEAST, OWN_SHARE * len({item for item, *_ in items}))
+        few = {t for t in names if with_token[t,] <= rare}
+        self.names = [frozenset(few.intersection(unit)) for _, mine in parts for _, unit in mine]  # of each unit
+        rare = max(OWN_LEAST, OWN_SHARE * total)
+        few_everywhere = {t for t in few for n, beside in [(documents or {}).get(t, (0, 0))] if n <= rare or beside > LEAKED_SHARE * n}
+        self.seeds: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         for item, mine in parts:
             for kind, unit in mine:
                 number = len(self.units)
                 self.units.append((item, kind, unit))
-                own = {i: FIGURE if t.isdigit() else 1.0 for i, t in enumerate(unit) if t.isdigit() or t in names and documents.get(t, 0) <= rare}
+                own = {i: FIGURE if t.isdigit() else 1.0 for i, t in enumerate(unit) if t.isdigit() or t in few_everywhere}
                 self.own.append(own)
-                leads = {i for i in own if not unit[i].isdigit()} or set(own)
-                for i, pair in enumerate(zip(unit, unit[1:])):
-                    if i in leads or i + 1 in leads:
-                        seeds[pair].append((number, i))
-        self.seeds = {p: places for p, places in seeds.items() if len({self.units[u][0] for u, _ in places}) <= SEED_ITEMS}
+                leads = {i for i, t in enumerate(unit) if t in few_everywhere} or set(own)
+                pairs = list(zip(unit, unit[1:]))
+                chosen = {i for i, pair in enumerate(pairs) if (i in leads or i + 1 in leads) and with_pair[pair] <= SEED_ITEMS}
+                for begin in range(0, len(pairs), SEED_PART):
+                    part = range(begin, min(begin + SEED_PART, len(pairs)))
+                    if chosen.isdisjoint(part):
+                        chosen.add(min(part, key=lambda i: (with_pair[pairs[i]], i)))
+                for i in chosen:
+                    self.seeds[pairs[i]].append((number, i))
+
+
+def _of_items(parts: list[tuple[int, list[tuple[str, list[str]]]]], n: int) -> dict[int, set[tuple[str, ...]]]:
+    """The distinct runs of ``n`` tokens of each item."""
+    found: dict[int, set[tuple[str, ...]]] = defaultdict(set)
+    for item, mine in parts:
+        for _, unit in mine:
+            found[item].update(zip(*(unit[k:] for k in range(n))))
+    return found
 
 
 def tile(left: list[str], right: list[str], least: int = 2) -> list[tuple[int, int, int]]:
@@ -234,21 +255,29 @@ def run(mark: list[bool], unit: list[str], own: dict[int, float]) -> bool:
     return False
 
 
-def document_counts(documents: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """The number of documents with each token of ``vocabulary``, and of all documents. No more comes to the driver than the vocabulary has entries."""
-    wanted = documents.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def document_counts(documents: DataFrame, held: list[tuple[int, str | None, str | None]]) -> tuple[dict[str, tuple[int, int]], int]:
+    """({name: (documents that have it, those that have all names of one of its units)}, all documents). No more comes to the driver than the items have names."""
+    units_names = documents.sparkSession.sparkContext.broadcast(Reference(held).names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        of_token: dict[str, list[frozenset[str]]] = defaultdict(list)
+        for names in set(units_names.value):
+            for t in names:
+                of_token[t].append(names)
+        counts, beside = Counter(), Counter()
         for batch in batches:
             for text in batch["text"].to_pylist():
                 counts[""] += 1
                 if text:
-                    counts.update(wanted.value.intersection(document_tokens(text)))
-        yield pa.RecordBatch.from_pydict({"token": list(counts), "n": list(counts.values())}, pa.schema([("token", pa.string()), ("n", pa.int64())]))
+                    there = set(document_tokens(text))
+                    for t in there & of_token.keys():
+                        counts[t] += 1
+                        beside[t] += any(names <= there for names in of_token[t])
+        yield pa.RecordBatch.from_pydict({"token": list(counts), "n": list(counts.values()), "beside": [beside[t] for t in counts]}, pa.schema([("token", pa.string()), ("n", pa.int64()), ("beside", pa.int64())]))
 
-    found = {r.token: r.n for r in documents.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    return found, found.pop("", 0)
+    rows = documents.select("text").mapInArrow(count, "token string, n long, beside long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside")).collect()
+    found = {r.token: (r.n, r.beside) for r in rows}
+    return found, found.pop("", (0, 0))[0]
 
 
 def leaked(documents: DataFrame, items: DataFrame, *, max_bytes: int = MAX_REFERENCE_BYTES) -> DataFrame:
@@ -261,8 +290,7 @@ def leaked(documents: DataFrame, items: DataFrame, *, max_bytes: int = MAX_REFER
     if size > max_bytes:
         raise ValueError(f"the held-out items exceed {max_bytes} bytes; pass them in parts")
     held = [tuple(r) for r in items.select("item_id", "question", "passage").distinct().toLocalIterator()]
-    counts, total = document_counts(documents, {t for _, question, passage in held for _, unit in units_of(question, passage) for t in unit})
-    shared = items.sparkSession.sparkContext.broadcast((held, counts, total))
+    shared = items.sparkSession.sparkContext.broadcast((held, *document_counts(documents, held)))
     key = dict(documents.select("doc_id").dtypes)["doc_id"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

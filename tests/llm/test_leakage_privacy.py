@@ -65,3 +65,10 @@ def test_long_text():
     text = ("word " * 20_000) + "mailto:a@example.org " + "7" * 5000 + "@" * 3000
     assert [(k, text[b:e]) for k, b, e in P.find(text)] == [("email", "a@example.org")]
     assert re.sub(r"\S", "", P.redact(text, P.find(text))).isspace()
+
+
+def test_widely_leaked(spark):
+    question = "Who founded the Zorn Museum, whose seat is in Vülgrad?"
+    docs = spark.createDataFrame([(k, question if k < 40 else f"word{k} of another text") for k in range(100)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, question, None)], "item_id long, question string, passage string")
+    assert {r.doc_id for r in L.leaked(docs, items).collect()} == set(range(40))
