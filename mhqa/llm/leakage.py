@@ -81,6 +81,7 @@ class Reference:
         rare = max(OWN_LEAST, OWN_SHARE * total)
         few_everywhere = {t for t in few for n, beside in [(documents or {}).get(t, (0, 0))] if n <= rare or beside > LEAKED_SHARE * n}
         self.seeds: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        self.hits: list[int] = []  # seeds on one diagonal that a unit needs
         for item, mine in parts:
             for kind, unit in mine:
                 number = len(self.units)
@@ -96,6 +97,7 @@ class Reference:
                         chosen.add(min(part, key=lambda i: (with_pair[pairs[i]], i)))
                 for i in chosen:
                     self.seeds[pairs[i]].append((number, i))
+                self.hits.append(min(SEED_HITS, len(chosen)))
 
 
 def _of_items(parts: list[tuple[int, list[tuple[str, list[str]]]]], n: int) -> dict[int, set[tuple[str, ...]]]:
@@ -211,7 +213,7 @@ def leaks(text: list[str], reference: Reference) -> dict[int, tuple[str, float,
             if any(abs(d - x) <= 6 for x in tried):
                 continue
             tried.append(d)
-            if sum(n for x, n in diagonals.items() if abs(x - d) <= 6) < SEED_HITS:
+            if sum(n for x, n in diagonals.items() if abs(x - d) <= 6) < reference.hits[unit]:
                 continue
             slack = 4 + len(target) // 6
             window = text[max(0, d - slack) : d + len(target) + slack]

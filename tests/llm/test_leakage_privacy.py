@@ -72,3 +72,8 @@ def test_widely_leaked(spark):
     docs = spark.createDataFrame([(k, question if k < 40 else f"word{k} of another text") for k in range(100)], "doc_id long, text string")
     items = spark.createDataFrame([(1, question, None)], "item_id long, question string, passage string")
     assert {r.doc_id for r in L.leaked(docs, items).collect()} == set(range(40))
+
+
+@pytest.mark.parametrize("text", ["At the centre of the scarlet estuary stands a young soldier, and the plot ends in Yurdhaven", "the old mill by the river was closed for many years before it was opened again"])
+def test_few_seeds(text):
+    assert L.leaks(L.document_tokens(f"Before it. {text}. After it."), L.Reference([(1, None, text + ".")])).keys() == {1}
