@@ -210,7 +210,7 @@ def truncated_units(instances: DataFrame, known: dict[str, str]) -> tuple[DataFr
     """(all units, the cut ones): rows of ``unit_features``, the cut ones distinct.
 
     A text is cut if a cut mark stands at its end, if it doesn't end as a sentence does and an opened quotation stays open, its final context
-    goes on more often than it ends (log-odds under the threshold of its language and column), or its last word is only the beginning of
+    goes on more often than it ends (log-odds under LOG_ODDS, a constant), or its last word is only the beginning of
     a word; or if it ends as a sentence does but its context hardly ever ends a text.
     """
     units = materialise(unit_features(instances, known))
