@@ -1,9 +1,9 @@
 """The same or nearly the same records in different splits, by fingerprints (problem 6).
 
-Each text (a question, or the source sentences of a candidate) gets marks by one rule for both sides: of a single line the uncommon words, with
-their spellings by one or two letters less, of several lines the word triples with an uncommon word; each with the figures of its line, which must be
-the same. Marks are joined across the splits, between distinct texts only, and one that is shared makes a candidate; its shared triples are chained
-in order and the chain is extended by alignment; the pairs that hold are expanded to the records that have the texts.
+Each text is a question or the source sentences of a candidate, one line each. Of enough lines of a text of one split (the left one) the least of the line's uncommon and
+capitalised words by rarity and hash are selected; each, or a near spelling of it, must stand in a line with the same figures of a text of the other split. So only pairs that share a rare word and all figures of a line are
+compared: their shared word triples (rolling hashes of the words' codes) are chained in order, the chain is extended by alignment, and coverage of both texts, figures and
+names decides. Only distinct texts are compared; the records that have them are joined at the end.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator, Mapping
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -30,10 +30,12 @@ _DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४
 
 GRAM = 3
 ROLL, MASK, BEHIND = 1_000_003, (1 << 61) - 1, 1 << 61
-#: A word is common if at least this share of all texts has it; no more than (words a text) / COMMON_SHARE words can be.
-COMMON_SHARE, COMMON_LEAST = 0.0008, 12
-#: The marks of texts of common words alone are broadcast up to this number.
-BROADCAST_MARKS = 200_000
+#: A word is common if at least this share of all texts has it. Shares from COUNTED_SHARE on are known to every task: at most (words a text) / COUNTED_SHARE words.
+COMMON_SHARE, COMMON_LEAST, COUNTED_SHARE = 0.0008, 12, 0.0001
+#: Words of a larger share of all texts aren't selected.
+SELECTED_SHARE = 0.01
+#: So many words of a line are selected, no two of them neighbours. A line of fewer, and in the other split one of so many or fewer, also goes by its words run together.
+LEADS, FEW_WORDS = 3, 5
 SAME_SENTENCES, COVERAGE = 2 / 3, 0.6
 
 
@@ -88,18 +90,57 @@ def spellings(word: str) -> tuple[int, ...]:
     return tuple(_code(w) * ROLL & MASK for w in found)
 
 
-def marks_of(form: str, common: frozenset[str]) -> list[int]:
-    """What a text is found by: see above. A text of common words alone has its triples, BEHIND all other marks."""
-    lines = [words_of(line) for line in form.split("\n")]
-    found: set[int] = set()
-    for words in lines:
-        figures = _code(" ".join(sorted(w for w in words if w[0].isdigit())))
-        if len(lines) == 1:
-            keys = {h for w in words if w not in common for h in spellings(w)}
-        else:
-            keys = {h for h in fingerprints(words, common) if h < BEHIND}
-        found.update((h ^ figures * ROLL) & MASK for h in keys)
-    return sorted(found) or common_marks(form, common)
+def figures_of(words: list[str]) -> int:
+    return _code(" ".join(sorted(w for w in words if w[0].isdigit())))
+
+
+def _indexed(word: str, shares: Mapping[str, float]) -> bool:
+    return len(word) > 1 and not word[0].isdigit() and shares.get(word, 0.0) < SELECTED_SHARE
+
+
+def run_together(words: list[str], i: int) -> list[str]:
+    """The word of place ``i`` with the one before it, and with the one behind it."""
+    return [words[k] + words[k + 1] for k in (i - 1, i) if 0 <= k < len(words) - 1 and not words[k][0].isdigit() and not words[k + 1][0].isdigit()]
+
+
+def selected(form: str, shares: Mapping[str, float]) -> list[tuple[int, str, bool, int, int, int]] | None:
+    """What a left text is found by: (figures of the line, word, whether only as it is spelt, number of the line, bit of the selected word, how many of the line's a counterpart must have).
+
+    So many lines are taken that at least one of them must have its counterpart; None if too few have such words, uncommon or capitalised. Of three selected words one may be written apart or
+    together with its neighbour in the counterpart; of fewer, all are also taken together with their neighbours.
+    """
+    lines = []
+    for number, line in enumerate(form.split("\n")):
+        words = words_of(line)
+        written = line.split(" ")
+        telling = [i for i, w in enumerate(words) if _indexed(w, shares) and (shares.get(w, 0.0) < COMMON_SHARE or written[i][0] == CAPITAL)]
+        chosen: list[int] = []
+        for i in sorted(telling, key=lambda i: (shares.get(words[i], 0.0), _code(words[i]), i)):
+            if len(chosen) < LEADS and all(abs(i - j) > 1 for j in chosen):
+                chosen.append(i)
+        if chosen:
+            figures, need = figures_of(words), LEADS - 1 if len(chosen) == LEADS else 1
+            found = [(figures, words[i], False, number, 1 << n, need) for n, i in enumerate(chosen)]
+            if len(chosen) < LEADS:
+                found += [(figures, w, True, number, 1 << n, need) for n, i in enumerate(chosen) for w in run_together(words, i)]
+            lines.append((-len(chosen), shares.get(words[chosen[0]], 0.0), found))
+    need = len(form.split("\n")) // 3 + 1  # as many lines may lack a counterpart, and one more
+    if len(lines) < need:
+        return None
+    return [x for _, _, found in sorted(lines)[:need] for x in found]
+
+
+def indexed(form: str, shares: Mapping[str, float]) -> list[tuple[int, str, bool]]:
+    """All that a text of the other split can be found by: (figures of the line, word, whether only as it is spelt)."""
+    found: set[tuple[int, str, bool]] = set()
+    for line in form.split("\n"):
+        words = words_of(line)
+        places = [i for i, w in enumerate(words) if _indexed(w, shares)]
+        figures = figures_of(words)
+        found.update((figures, words[i], False) for i in places)
+        if len(places) <= FEW_WORDS:
+            found.update((figures, w, True) for i in places for w in run_together(words, i))
+    return sorted(found)
 
 
 def common_marks(form: str, common: frozenset[str]) -> list[int]:
@@ -170,7 +211,7 @@ def chain(a: list[str], b: list[str]) -> tuple[list[bool], list[bool]]:
     return hit_a, hit_b
 
 
-def same(a: str, b: str, common: frozenset[str]) -> bool:
+def same(a: str, b: str, common: Container[str]) -> bool:
     """Whether two forms say the same about the same: the same figures, all capitalised and uncommon words of each in the other, in order, and most of the rest."""
     x, y = words_of(a), words_of(b)
     if x == y:
@@ -182,21 +223,34 @@ def same(a: str, b: str, common: frozenset[str]) -> bool:
     if len(set(x) & set(y)) < 0.3 * min(len(set(x)), len(set(y))):
         return False
     for form, words, other in ((a, x, y), (b, y, x)):
-        names, run, there = {w[1:] for w in form.split() if w[0] == CAPITAL}, "".join(other), set(other)
-        # A word may be written apart or together with the next one; else it is another name.
-        if any(t not in run and not any(near(t, o) for o in there) for t in set(words) - there if len(t) > 1 and (t in names or t not in common)):
-            return False
-    return all(sum(hit) >= COVERAGE * len(hit) for hit in chain(x, y))
+        names, there = {w[1:] for w in form.split() if w[0] == CAPITAL}, set(other)
+        missing = {t for t in words if len(t) > 1 and t not in there and (t in names or t not in common)}
+        if missing:  # near spellings, and words that are written apart or together with a neighbour; else it is another name
+            missing = {t for t in missing if not any(near(t, o) for o in there)}
+        if missing:
+            apart = {p + q for p, q in zip(other, other[1:])}
+            together = {t for p, q in zip(words, words[1:]) if p + q in there for t in (p, q)}
+            if missing - apart - together:
+                return False
+    return min(_shares(x, y)) >= COVERAGE
 
 
-def same_forms(field: str, a: str, b: str, common: frozenset[str]) -> bool:
-    """Whether two forms of a field overlap; those of source sentences come as lines."""
+def _shares(x: list[str], y: list[str]) -> tuple[float, float]:
+    left, right = chain(x, y)
+    return sum(left) / len(left), sum(right) / len(right)
+
+
+def coverage(field: str, a: str, b: str, common: Container[str]) -> tuple[float, float] | None:
+    """The shares of two forms of a field that the other covers (of a question's words, of a candidate's lines), None if they don't overlap."""
     if field == "question":
-        return same(a, b, common)
-    left, right = a.split("\n"), b.split("\n")
-    if len(left) < len(right):
-        left, right = right, left
+        a, b = a.replace("\n", " "), b.replace("\n", " ")  # line breaks mean nothing in a question
+        x, y = words_of(a), words_of(b)
+        return (1.0, 1.0) if x == y else _shares(x, y) if same(a, b, common) else None
+    swapped = a.count("\n") < b.count("\n")
+    left, right = (b.split("\n"), a.split("\n")) if swapped else (a.split("\n"), b.split("\n"))
     need = SAME_SENTENCES * len(left) - 1e-9
+    if len(right) < need:
+        return None
     bare = [s.replace(CAPITAL, "") for s in right]
     free, found = list(range(len(right))), 0
     for k, s in enumerate(left):
@@ -208,8 +262,14 @@ def same_forms(field: str, a: str, b: str, common: frozenset[str]) -> bool:
             free.remove(match)
             found += 1
         if found + len(left) - k - 1 < need:
-            return False
-    return found >= need
+            return None
+    shares = found / len(left), found / len(right)
+    return shares[::-1] if swapped else shares
+
+
+def same_forms(field: str, a: str, b: str, common: Container[str]) -> bool:
+    """Whether two forms of a field overlap; those of source sentences come as lines."""
+    return coverage(field, a, b, common) is not None
 
 
 def same_texts(field: str, a: str, b: str, common: frozenset[str]) -> bool:
@@ -228,35 +288,38 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str]]:
                 yield k, "source_sentences", "\n".join(lines)
 
 
-_TABLE = "id string, split string, shard string, field string, key long, form string"
+_TABLE = "id string, split string, shard string, field string, key binary, bag binary, form string"
 
 
 def text_table(records: DataFrame) -> DataFrame:
-    """One row for each text of each record, its form, and a key that is equal for texts of equal words (for source sentences, in whatever order)."""
-    schema = pa.schema([("id", pa.string()), ("split", pa.string()), ("shard", pa.string()), ("field", pa.string()), ("key", pa.int64()), ("form", pa.string())])
+    """One row for each text of each record: its key (128 bits of its form), a bag that is equal for texts of equal words (lines in whatever order), and the form where its task meets it first."""
+    schema = pa.schema([(n, pa.binary() if n in ("key", "bag") else pa.string()) for n in ("id", "split", "shard", "field", "key", "bag", "form")])
+
+    def digest(text: str) -> bytes:
+        return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], tuple[int, str]] = {}
+        known: dict[tuple[str | None, str, str], tuple[bytes, bytes, None]] = {}
         for batch in batches:
             ids, splits, shards = (batch[c].to_pylist() for c in ("id", "source_split", "shard"))
             rows = []
             if len(known) > 50_000:
                 known.clear()
             for k, field, text in _texts(batch):
-                found = known.get((field, text))
+                found = known.get((splits[k], field, text))
                 if found is None:
                     lines = [form_of(s) for s in text.split("\n")]
-                    same_for_all = field[:1] + "\n".join(sorted(lines)).replace(CAPITAL, "")
-                    key = int.from_bytes(blake2b(same_for_all.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                    found = known[field, text] = key, "\n".join(lines)
+                    form = "\n".join(lines)
+                    found = digest(field[:1] + form), digest(field[:1] + "\n".join(sorted(lines)).replace(CAPITAL, "")), form
+                    known[splits[k], field, text] = *found[:2], None
                 rows.append((ids[k], splits[k], shards[k], field, *found))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return records.mapInArrow(run, _TABLE)
 
 
-def common_words(distinct: DataFrame) -> frozenset[str]:
-    """Words that at least COMMON_SHARE of all distinct texts have; their number is bounded by that share."""
+def word_shares(distinct: DataFrame) -> dict[str, float]:
+    """The share of all distinct texts that has each word, of the words from COUNTED_SHARE (and COMMON_LEAST texts) on; that share bounds their number."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,67 +333,90 @@ def common_words(distinct: DataFrame) -> frozenset[str]:
                 counts.clear()
         yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema)
 
-    counted = distinct.select("form").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST).cache()
-    total = next((r.n for r in counted.where("word = ''").collect()), 0)
-    found = frozenset(r.word for r in counted.where((F.col("n") >= COMMON_SHARE * total) & (F.col("word") != "")).select("word").collect())
-    counted.unpersist()
-    return found
+    counted = distinct.select("form").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = distinct.count()
+    rows = counted.where((F.col("n") >= max(COMMON_LEAST, COUNTED_SHARE * total)) & (F.col("word") != "")).toLocalIterator()
+    return {r.word: r.n / total for r in rows}
 
 
-def candidate_pairs(distinct: DataFrame, common: frozenset[str], left: str, right: str) -> DataFrame:
-    """(field, key_left, key_right), distinct: the texts of the two splits that share a mark and whose numbers of lines allow an overlap.
+def common_words(distinct: DataFrame) -> frozenset[str]:
+    """Words that at least COMMON_SHARE of all distinct texts have."""
+    return frozenset(w for w, share in word_shares(distinct).items() if share >= COMMON_SHARE)
 
-    Texts of common words alone are rare; they meet all texts by triples of common words.
-    """
-    words = distinct.sparkSession.sparkContext.broadcast(common)
+
+def near_words(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(word, other): each word of ``a`` with the words of ``b`` that are equal or may be near to it; both have (word, exact), and of an exact word only the equal one counts."""
 
     @F.arrow_udf("array<long>")
-    def marks(forms: pa.Array) -> pa.Array:
-        return pa.array([marks_of(t, words.value) for t in forms.to_pylist()], pa.list_(pa.int64()))
+    def codes(words: pa.Array, exact: pa.Array) -> pa.Array:
+        return pa.array([[_code(w) * ROLL & MASK] if e else spellings(w) for w, e in zip(words.to_pylist(), exact.to_pylist())], pa.list_(pa.int64()))
+
+    left, right = (t.select("word", "exact").distinct().select(F.col("word").alias(name), F.explode(codes("word", "exact")).alias("code")) for t, name in ((a, "word"), (b, "other")))
+    return left.join(right, "code").select("word", "other").distinct()
+
+
+def candidate_pairs(distinct: DataFrame, shares: dict[str, float], left: str, right: str) -> DataFrame:
+    """(field, key_left, key_right), distinct: pairs of texts of the two splits whose numbers of lines allow an overlap and of which a line of the left one has its selected words, or near ones, in lines of the right one with the same figures.
+
+    Left texts of common words alone meet those of the other split by triples of common words.
+    """
+    spark = distinct.sparkSession
+    known = spark.sparkContext.broadcast(shares)
+    mark = [("figures", pa.int64()), ("word", pa.string()), ("exact", pa.bool_())]
+    place = [("line", pa.int32()), ("lead", pa.int32()), ("need", pa.int32())]
+
+    @F.arrow_udf("array<struct<figures: bigint, word: string, exact: boolean, line: int, lead: int, need: int>>")
+    def select(forms: pa.Array) -> pa.Array:
+        names = [n for n, _ in mark + place]
+        found = [selected(t, known.value) for t in forms.to_pylist()]
+        return pa.array([None if x is None else [dict(zip(names, m)) for m in x] for x in found], pa.list_(pa.struct(mark + place)))
+
+    @F.arrow_udf("array<struct<figures: bigint, word: string, exact: boolean>>")
+    def index(forms: pa.Array) -> pa.Array:
+        return pa.array([[{"figures": f, "word": w, "exact": e} for f, w, e in indexed(t, known.value)] for t in forms.to_pylist()], pa.list_(pa.struct(mark)))
 
     @F.arrow_udf("array<long>")
     def usual(forms: pa.Array) -> pa.Array:
-        return pa.array([common_marks(t, words.value) for t in forms.to_pylist()], pa.list_(pa.int64()))
+        common = frozenset(w for w, share in known.value.items() if share >= COMMON_SHARE)
+        return pa.array([common_marks(t, common) for t in forms.to_pylist()], pa.list_(pa.int64()))
 
     # Line breaks mean nothing in a question.
-    distinct = distinct.select("field", "split", "key", F.when(F.col("field") == "question", F.translate("form", "\n", " ")).otherwise(F.col("form")).alias("form"))
-    lines = F.size(F.split("form", "\n")).alias("lines")
-    rows = materialise(distinct.select("field", "split", "key", lines, F.explode(marks("form")).alias("mark")))
-
-    def sides(a: DataFrame, b: DataFrame) -> DataFrame:
-        a, b = (t.where(F.col("split") == split).select("field", "mark", F.col("key").alias(f"key_{n}"), F.col("lines").alias(f"lines_{n}")) for t, split, n in ((a, left, "left"), (b, right, "right")))
-        fits = F.least("lines_left", "lines_right") >= SAME_SENTENCES * F.greatest("lines_left", "lines_right") - 1e-9
-        return a.join(b, ["field", "mark"]).where(fits & (F.col("key_left") != F.col("key_right"))).select("field", "key_left", "key_right")
-
-    found = sides(*[rows.where(F.col("mark") < BEHIND)] * 2)
-    poor = rows.where(F.col("mark") >= BEHIND)
-    n = poor.count()
-    if n:
-        every = distinct.select("field", "split", "key", lines, F.explode(usual("form")).alias("mark"))
-        few = F.broadcast(poor) if n <= BROADCAST_MARKS else poor
-        found = found.unionByName(sides(few, every)).unionByName(sides(every, few))
-    return found.distinct()
+    distinct = distinct.select("field", "split", "key", F.when(F.col("field") == "question", F.translate("form", "\n", " ")).otherwise(F.col("form")).alias("form")).withColumn("lines", F.size(F.split("form", "\n")))
+    of_left, of_right = (distinct.where(F.col("split") == split).select("field", F.col("key").alias(f"key_{n}"), F.col("lines").alias(f"lines_{n}"), "form") for split, n in ((left, "left"), (right, "right")))
+    chosen = materialise(of_left.withColumn("marks", select("form")).select("field", "key_left", "lines_left", F.when(F.col("marks").isNull(), F.col("form")).alias("form"), F.explode_outer("marks").alias("m")).select("*", "m.*").drop("m"))
+    there = materialise(of_right.select("field", "key_right", "lines_right", F.explode(index("form")).alias("m")).select("*", "m.*").drop("m"))
+    fits = F.least("lines_left", "lines_right") >= SAME_SENTENCES * F.greatest("lines_left", "lines_right") - 1e-9
+    wanted = chosen.where("form is null").drop("form", "exact")
+    by_word = wanted.join(near_words(chosen.where("form is null"), there), "word").drop("word").withColumnRenamed("other", "word")
+    met = by_word.join(there.drop("exact"), ["field", "figures", "word"]).where(fits)
+    leads = F.bit_or("lead")
+    found = met.groupBy("field", "key_left", "key_right", "line").agg(leads.alias("leads"), F.first("need").alias("need")).where(F.bit_count("leads") >= F.col("need")).select("field", "key_left", "key_right")
+    poor = chosen.where("form is not null").select("field", "key_left", "lines_left", F.explode(usual("form")).alias("mark"))
+    every = of_right.select("field", "key_right", "lines_right", F.explode(usual("form")).alias("mark"))
+    return found.unionByName(poor.join(every, ["field", "mark"]).where(fits).select("field", "key_left", "key_right")).distinct()
 
 
 def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
-    """(the text table, (field, key_left, key_right) of the distinct texts of the two splits that overlap)."""
+    """(the text table, (field, key_left, key_right, cover_left, cover_right) of the distinct texts of the two splits that overlap)."""
     spark = instances.sparkSession
     records = instances.where(F.col("source_split").isin(left, right)).select("id", "source_split", "shard", "question", F.transform("candidates", lambda c: c["source_sentences"]).alias("candidates"))
     table = materialise(text_table(records))
-    distinct = materialise(table.groupBy("field", "split", "key").agg(F.min("form").alias("form")))
-    common = common_words(distinct)
-    candidates = candidate_pairs(distinct, common, left, right)
-    of_left = distinct.where(F.col("split") == left).select("field", F.col("key").alias("key_left"), F.col("form").alias("text_left"))
-    of_right = distinct.where(F.col("split") == right).select("field", F.col("key").alias("key_right"), F.col("form").alias("text_right"))
-    words = spark.sparkContext.broadcast(common)
+    distinct = materialise(table.where("form is not null").select("field", "split", "key", "bag", "form").distinct())
+    shares = word_shares(distinct)
+    candidates = candidate_pairs(distinct, shares, left, right)
+    of_left = distinct.where(F.col("split") == left).select("field", F.col("key").alias("key_left"), "bag", F.col("form").alias("text_left"))
+    of_right = distinct.where(F.col("split") == right).select("field", F.col("key").alias("key_right"), "bag", F.col("form").alias("text_right"))
+    known = spark.sparkContext.broadcast(shares)
 
-    @F.arrow_udf("boolean")
-    def holds(field: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([same_forms(f, s, t, words.value) for f, s, t in zip(field.to_pylist(), x.to_pylist(), y.to_pylist())], pa.bool_())
+    @F.arrow_udf("array<double>")
+    def covers(field: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        common = frozenset(w for w, share in known.value.items() if share >= COMMON_SHARE)
+        return pa.array([coverage(f, s, t, common) for f, s, t in zip(field.to_pylist(), x.to_pylist(), y.to_pylist())], pa.list_(pa.float64()))
 
-    verified = candidates.join(of_left, ["field", "key_left"]).join(of_right, ["field", "key_right"]).where(holds("field", "text_left", "text_right")).select("field", "key_left", "key_right")
-    equal = of_left.select("field", "key_left", F.col("key_left").alias("key_right")).join(of_right.select("field", "key_right"), ["field", "key_right"], "left_semi").select("field", "key_left", "key_right")
-    return table, verified.unionByName(equal)
+    equal = of_left.select("field", "bag", "key_left").join(of_right.select("field", "bag", "key_right"), ["field", "bag"]).select("field", "key_left", "key_right")
+    compared = candidates.join(equal, ["field", "key_left", "key_right"], "left_anti").join(of_left.drop("bag"), ["field", "key_left"]).join(of_right.drop("bag"), ["field", "key_right"])
+    verified = compared.withColumn("c", covers("field", "text_left", "text_right")).where("c is not null").select("field", "key_left", "key_right", F.col("c")[0].alias("cover_left"), F.col("c")[1].alias("cover_right"))
+    return table, verified.unionByName(equal.withColumns({"cover_left": F.lit(1.0), "cover_right": F.lit(1.0)}))
 
 
 def overlaps(instances: DataFrame, *, left: str = "train", right: str = "validation") -> DataFrame:
@@ -347,10 +433,23 @@ def overlaps(instances: DataFrame, *, left: str = "train", right: str = "validat
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "field").where("id_a != id_b").distinct()
 
 
-def overlap_report(instances: DataFrame, *, left: str = "train", right: str = "validation") -> DataFrame:
-    """(split, shard, field, records, overlapping, coverage): how many records of each split and source overlap with the other split."""
+def record_coverage(instances: DataFrame, *, left: str = "train", right: str = "validation") -> DataFrame:
+    """(id, split, shard, field, coverage): of each record with a text of ``field``, the greatest share of such a text that one of the other split covers, 0 if none overlaps.
+
+    A record that was sent in several shards goes by the least of them.
+    """
     table, texts = overlapping_texts(instances, left, right)
-    members = table.groupBy("id", "field", "key").agg(F.min("split").alias("split"), F.min("shard").alias("shard"))
-    keys = texts.select("field", F.col("key_left").alias("key"), F.lit(left).alias("split")).unionByName(texts.select("field", F.col("key_right").alias("key"), F.lit(right).alias("split"))).distinct().withColumn("hit", F.lit(1))
-    of_record = members.join(keys, ["field", "key", "split"], "left").groupBy("split", "shard", "field", "id").agg(F.coalesce(F.max("hit"), F.lit(0)).alias("hit"))
-    return of_record.groupBy("split", "shard", "field").agg(F.count("*").alias("records"), F.sum("hit").alias("overlapping")).withColumn("coverage", F.col("overlapping") / F.col("records"))
+    covered = [texts.select("field", F.col(f"key_{n}").alias("key"), F.lit(split).alias("split"), F.col(f"cover_{n}").alias("c")) for n, split in (("left", left), ("right", right))]
+    best = covered[0].unionByName(covered[1]).groupBy("field", "key", "split").agg(F.max("c").alias("c"))
+    of_text = table.select("id", "split", "shard", "field", "key").join(best, ["field", "key", "split"], "left")
+    return of_text.groupBy("id", "split", "field").agg(F.min("shard").alias("shard"), F.coalesce(F.max("c"), F.lit(0.0)).alias("coverage")).select("id", "split", "shard", "field", "coverage")
+
+
+def overlap_report(instances: DataFrame, *, left: str = "train", right: str = "validation") -> DataFrame:
+    """(split, shard, field, records, overlapping, share, coverage): how many records of each split and source overlap with the other split, their share, and the mean coverage of those that do."""
+    hit = F.col("coverage") > 0
+    return (
+        record_coverage(instances, left=left, right=right).groupBy("split", "shard", "field")
+        .agg(F.count("*").alias("records"), F.count_if(hit).alias("overlapping"), F.avg(F.when(hit, F.col("coverage"))).alias("coverage"))
+        .select("split", "shard", "field", "records", "overlapping", (F.col("overlapping") / F.col("records")).alias("share"), "coverage")
+    )

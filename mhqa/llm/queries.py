@@ -57,6 +57,10 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf_dir, "instances"))
 
 
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.record_coverage(table(spark, sf_dir, "instances"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -77,7 +81,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_rates, p3_found, p4_found, p5_found, p5_forms, p6_found, p6_report, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_rates, p3_found, p4_found, p5_found, p5_forms, p6_found, p6_report, p6_records, p7_ids, p8_found, p8_report, p9_found, p9_redacted)}
 
 # The rules of p5_found as patterns; what SQL lacks is the case of whole words of look-alikes in another script.
 _L, _C, _G, _A, _M = r"A-Za-z\x{aa}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2af}\x{1e00}-\x{1eff}", r"\x{400}-\x{52f}", r"\x{370}-\x{3ff}", r"[\x{620}-\x{6ff}\x{750}-\x{77f}]", r"[\x{300}-\x{36f}]*"
