@@ -82,11 +82,10 @@ def fingerprints(words: list[str], common: frozenset[str]) -> list[int]:
 
 @lru_cache(maxsize=100_000)
 def spellings(word: str) -> tuple[int, ...]:
-    """Codes of ``word`` and of what is left without one letter or, from nine letters on, two. Two words that are ``near`` share one."""
+    """Codes of ``word`` and, from four letters on, of what is left without one letter. Two words that are ``near`` share one."""
     found = {word}
-    if not word[0].isdigit():
-        for _ in range(2 if len(word) >= 9 else 1 if len(word) >= 4 else 0):
-            found |= {w[:k] + w[k + 1 :] for w in found for k in range(len(w))}
+    if not word[0].isdigit() and len(word) >= 4:
+        found |= {word[:k] + word[k + 1 :] for k in range(len(word))}
     return tuple(_code(w) * ROLL & MASK for w in found)
 
 
@@ -148,25 +147,16 @@ def common_marks(form: str, common: frozenset[str]) -> list[int]:
 
 
 def near(a: str, b: str) -> bool:
-    """Whether two words may be the same, one misspelt: one edit (or swap of neighbours) from four letters on, two from nine. Figures must be equal."""
+    """Whether two words may be the same, one misspelt: one letter more, less or other, or two neighbours swapped, from four letters on. Figures must be equal."""
     if a == b:
         return True
     n, m = len(a), len(b)
-    limit = 2 if min(n, m) >= 9 else 1 if min(n, m) >= 4 else 0
-    if not limit or abs(n - m) > limit or a[0].isdigit() or b[0].isdigit():
+    if min(n, m) < 4 or abs(n - m) > 1 or a[0].isdigit() or b[0].isdigit():
         return False
-    rows = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        now = [i]
-        for j in range(1, m + 1):
-            cost = min(rows[-1][j] + 1, now[-1] + 1, rows[-1][j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                cost = min(cost, rows[-2][j - 2] + 1)
-            now.append(cost)
-        rows.append(now)
-        if min(now) > limit:
-            return False
-    return rows[-1][m] <= limit
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(n, m))
+    if n != m:
+        return a[k + 1 :] == b[k:] if n > m else a[k:] == b[k + 1 :]
+    return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
 
 
 def chain(a: list[str], b: list[str]) -> tuple[list[bool], list[bool]]:
@@ -345,14 +335,14 @@ def common_words(distinct: DataFrame) -> frozenset[str]:
 
 
 def near_words(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(word, other): each word of ``a`` with the words of ``b`` that are equal or may be near to it; both have (word, exact), and of an exact word only the equal one counts."""
+    """(word, other): the words of ``a`` with other words of ``b`` that may be the same, misspelt; some that aren't ``near`` are among them."""
 
     @F.arrow_udf("array<long>")
-    def codes(words: pa.Array, exact: pa.Array) -> pa.Array:
-        return pa.array([[_code(w) * ROLL & MASK] if e else spellings(w) for w, e in zip(words.to_pylist(), exact.to_pylist())], pa.list_(pa.int64()))
+    def codes(words: pa.Array) -> pa.Array:
+        return pa.array([spellings(w) for w in words.to_pylist()], pa.list_(pa.int64()))
 
-    left, right = (t.select("word", "exact").distinct().select(F.col("word").alias(name), F.explode(codes("word", "exact")).alias("code")) for t, name in ((a, "word"), (b, "other")))
-    return left.join(right, "code").select("word", "other").distinct()
+    left, right = (t.where("not exact").select("word").distinct().select(F.col("word").alias(name), F.explode(codes("word")).alias("code")) for t, name in ((a, "word"), (b, "other")))
+    return left.join(right, "code").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 2) >= 0)).select("word", "other").distinct()
 
 
 def candidate_pairs(distinct: DataFrame, shares: dict[str, float], left: str, right: str) -> DataFrame:
@@ -386,9 +376,9 @@ def candidate_pairs(distinct: DataFrame, shares: dict[str, float], left: str, ri
     chosen = materialise(of_left.withColumn("marks", select("form")).select("field", "key_left", "lines_left", F.when(F.col("marks").isNull(), F.col("form")).alias("form"), F.explode_outer("marks").alias("m")).select("*", "m.*").drop("m"))
     there = materialise(of_right.select("field", "key_right", "lines_right", F.explode(index("form")).alias("m")).select("*", "m.*").drop("m"))
     fits = F.least("lines_left", "lines_right") >= SAME_SENTENCES * F.greatest("lines_left", "lines_right") - 1e-9
-    wanted = chosen.where("form is null").drop("form", "exact")
-    by_word = wanted.join(near_words(chosen.where("form is null"), there), "word").drop("word").withColumnRenamed("other", "word")
-    met = by_word.join(there.drop("exact"), ["field", "figures", "word"]).where(fits)
+    wanted = chosen.where("form is null").drop("form")
+    misspelt = wanted.where("not exact").join(near_words(wanted, there), "word").withColumn("word", F.col("other")).drop("other")
+    met = wanted.unionByName(misspelt).drop("exact").join(there.drop("exact"), ["field", "figures", "word"]).where(fits)
     leads = F.bit_or("lead")
     found = met.groupBy("field", "key_left", "key_right", "line").agg(leads.alias("leads"), F.first("need").alias("need")).where(F.bit_count("leads") >= F.col("need")).select("field", "key_left", "key_right")
     poor = chosen.where("form is not null").select("field", "key_left", "lines_left", F.explode(usual("form")).alias("mark"))
