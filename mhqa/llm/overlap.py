@@ -15,9 +15,10 @@ from collections import Counter, defaultdict
 from collections.abc import Container, Iterable, Iterator, Mapping
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mhqa.llm.textforms import plain
@@ -35,7 +36,7 @@ COMMON_SHARE, COMMON_LEAST, COUNTED_SHARE = 0.0008, 12, 0.0001
 #: Words of a larger share of all texts aren't selected.
 SELECTED_SHARE = 0.01
 #: So many words of a line are selected, no two of them neighbours. A line of fewer, and in the other split one of so many or fewer, also goes by its words run together.
-LEADS, FEW_WORDS = 3, 5
+LEADS, FEW_WORDS = 3, 4
 SAME_SENTENCES, COVERAGE = 2 / 3, 0.6
 
 
@@ -102,44 +103,72 @@ def run_together(words: list[str], i: int) -> list[str]:
     return [words[k] + words[k + 1] for k in (i - 1, i) if 0 <= k < len(words) - 1 and not words[k][0].isdigit() and not words[k + 1][0].isdigit()]
 
 
-def selected(form: str, shares: Mapping[str, float]) -> list[tuple[int, str, bool, int, int, int]] | None:
-    """What a left text is found by: (figures of the line, word, whether only as it is spelt, number of the line, bit of the selected word, how many of the line's a counterpart must have).
+def mark_of(figures: int, a: str, b: str | None) -> int:
+    """What a line is found by: two of its words, or one, and all its figures. The same in SQL: ``_mark``."""
+    x, y = _code(a), _code(b) if b is not None else 0
+    return ((x + y) * ROLL + (x ^ y)) ^ figures * ROLL
 
-    So many lines are taken that at least one of them must have its counterpart; None if too few have such words, uncommon or capitalised. Of three selected words one may be written apart or
-    together with its neighbour in the counterpart; of fewer, all are also taken together with their neighbours.
+
+def _mark(figures: Column, a: Column, b: Column) -> Column:
+    x, y = F.crc32(a.cast("binary")), F.coalesce(F.crc32(b.cast("binary")), F.lit(0).cast("long"))
+    return ((x + y) * F.lit(ROLL).cast("long") + x.bitwiseXOR(y)).bitwiseXOR(figures * F.lit(ROLL).cast("long"))
+
+
+def _of_field(mark: Column) -> Column:
+    """Marks of questions and of sentences differ."""
+    return F.when(F.col("field") == "question", mark.bitwiseXOR(F.lit(1 << 62))).otherwise(mark)
+
+
+def short_key() -> Column:
+    """64 bits of a text's field and key: enough to find candidates by, since these are compared as texts."""
+    return F.xxhash64("field", "key")
+
+
+def selected(form: str, shares: Mapping[str, float]) -> list[tuple[int, str, str | None, bool, bool]] | None:
+    """What a left text is found by: (figures of the line, word, another word, whether each may be misspelt), of so many lines that at least one of them must have its counterpart; None if too few have such words, uncommon or capitalised.
+
+    Of three selected words of a line any two do, so that one may be written apart or together with its neighbour in the counterpart. Fewer are also taken run together with
+    their neighbours.
     """
     lines = []
-    for number, line in enumerate(form.split("\n")):
-        words = words_of(line)
-        written = line.split(" ")
+    for line in form.split("\n"):
+        words, written = words_of(line), line.split(" ")
         telling = [i for i, w in enumerate(words) if _indexed(w, shares) and (shares.get(w, 0.0) < COMMON_SHARE or written[i][0] == CAPITAL)]
         chosen: list[int] = []
         for i in sorted(telling, key=lambda i: (shares.get(words[i], 0.0), _code(words[i]), i)):
             if len(chosen) < LEADS and all(abs(i - j) > 1 for j in chosen):
                 chosen.append(i)
-        if chosen:
-            figures, need = figures_of(words), LEADS - 1 if len(chosen) == LEADS else 1
-            found = [(figures, words[i], False, number, 1 << n, need) for n, i in enumerate(chosen)]
-            if len(chosen) < LEADS:
-                found += [(figures, w, True, number, 1 << n, need) for n, i in enumerate(chosen) for w in run_together(words, i)]
-            lines.append((-len(chosen), shares.get(words[chosen[0]], 0.0), found))
+        if not chosen:
+            continue
+        figures, found = figures_of(words), []
+        if len(chosen) == 1:
+            found = [(figures, words[chosen[0]], None, True, False), *((figures, w, None, False, False) for w in run_together(words, chosen[0]))]
+        for i, j in combinations(chosen, 2):
+            found.append((figures, words[i], words[j], True, True))
+            if len(chosen) == 2:
+                found += [(figures, w, words[j], False, True) for w in run_together(words, i)] + [(figures, words[i], w, True, False) for w in run_together(words, j)]
+        lines.append((-len(chosen), shares.get(words[chosen[0]], 0.0), found))
     need = len(form.split("\n")) // 3 + 1  # as many lines may lack a counterpart, and one more
     if len(lines) < need:
         return None
-    return [x for _, _, found in sorted(lines)[:need] for x in found]
+    return [x for _, _, found in sorted(lines, key=lambda x: x[:2])[:need] for x in found]
 
 
-def indexed(form: str, shares: Mapping[str, float]) -> list[tuple[int, str, bool]]:
-    """All that a text of the other split can be found by: (figures of the line, word, whether only as it is spelt)."""
-    found: set[tuple[int, str, bool]] = set()
+def indexed(form: str, shares: Mapping[str, float]) -> tuple[set[str], set[int]]:
+    """(words, marks) that a text of the other split is found by: all pairs of the words of a line, and if few are uncommon, each word alone and pairs with words run together."""
+    vocabulary: set[str] = set()
+    marks: set[int] = set()
     for line in form.split("\n"):
         words = words_of(line)
         places = [i for i, w in enumerate(words) if _indexed(w, shares)]
-        figures = figures_of(words)
-        found.update((figures, words[i], False) for i in places)
-        if len(places) <= FEW_WORDS:
-            found.update((figures, w, True) for i in places for w in run_together(words, i))
-    return sorted(found)
+        mine, figures = {words[i] for i in places}, figures_of(words)
+        vocabulary |= mine
+        marks.update(mark_of(figures, a, b) for a, b in combinations(mine, 2))
+        if sum(shares.get(w, 0.0) < COMMON_SHARE for w in mine) <= FEW_WORDS:
+            joined = {w for i in places for w in run_together(words, i)}
+            marks.update(mark_of(figures, a, None) for a in mine | joined)
+            marks.update(mark_of(figures, a, b) for a in mine for b in joined)
+    return vocabulary, marks
 
 
 def common_marks(form: str, common: frozenset[str]) -> list[int]:
@@ -341,29 +370,30 @@ def near_words(a: DataFrame, b: DataFrame) -> DataFrame:
     def codes(words: pa.Array) -> pa.Array:
         return pa.array([spellings(w) for w in words.to_pylist()], pa.list_(pa.int64()))
 
-    left, right = (t.where("not exact").select("word").distinct().select(F.col("word").alias(name), F.explode(codes("word")).alias("code")) for t, name in ((a, "word"), (b, "other")))
-    return left.join(right, "code").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 2) >= 0)).select("word", "other").distinct()
+    left, right = (t.select(F.col("word").alias(name), F.explode(codes("word")).alias("code")) for t, name in ((a, "word"), (b, "other")))
+    letters = lambda w: F.array_sort(F.split(w, ""))
+    swapped = (F.length("word") == F.length("other")) & (F.levenshtein("word", "other", 2) >= 0) & (letters("word") == letters("other"))
+    return left.join(right, "code").where((F.col("word") != F.col("other")) & ((F.levenshtein("word", "other", 1) >= 0) | swapped)).select("word", "other").distinct()
 
 
 def candidate_pairs(distinct: DataFrame, shares: dict[str, float], left: str, right: str) -> DataFrame:
-    """(field, key_left, key_right), distinct: pairs of texts of the two splits whose numbers of lines allow an overlap and of which a line of the left one has its selected words, or near ones, in lines of the right one with the same figures.
+    """(key_left, key_right), distinct, short keys: pairs of texts of the two splits whose numbers of lines allow an overlap and of which a line of the left one has two of its selected words (one of them may be a near one), or its only one, in a line of the right one with the same figures.
 
     Left texts of common words alone meet those of the other split by triples of common words.
     """
     spark = distinct.sparkSession
     known = spark.sparkContext.broadcast(shares)
-    mark = [("figures", pa.int64()), ("word", pa.string()), ("exact", pa.bool_())]
-    place = [("line", pa.int32()), ("lead", pa.int32()), ("need", pa.int32())]
+    mark = pa.struct([("figures", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("near_a", pa.bool_()), ("near_b", pa.bool_())])
+    place = pa.struct([("words", pa.list_(pa.string())), ("marks", pa.list_(pa.int64()))])
 
-    @F.arrow_udf("array<struct<figures: bigint, word: string, exact: boolean, line: int, lead: int, need: int>>")
+    @F.arrow_udf("array<struct<figures: bigint, a: string, b: string, near_a: boolean, near_b: boolean>>")
     def select(forms: pa.Array) -> pa.Array:
-        names = [n for n, _ in mark + place]
         found = [selected(t, known.value) for t in forms.to_pylist()]
-        return pa.array([None if x is None else [dict(zip(names, m)) for m in x] for x in found], pa.list_(pa.struct(mark + place)))
+        return pa.array([None if x is None else [dict(zip(("figures", "a", "b", "near_a", "near_b"), m)) for m in x] for x in found], pa.list_(mark))
 
-    @F.arrow_udf("array<struct<figures: bigint, word: string, exact: boolean>>")
+    @F.arrow_udf("struct<words: array<string>, marks: array<bigint>>")
     def index(forms: pa.Array) -> pa.Array:
-        return pa.array([[{"figures": f, "word": w, "exact": e} for f, w, e in indexed(t, known.value)] for t in forms.to_pylist()], pa.list_(pa.struct(mark)))
+        return pa.array([{"words": sorted(words), "marks": sorted(marks)} for words, marks in (indexed(t, known.value) for t in forms.to_pylist())], place)
 
     @F.arrow_udf("array<long>")
     def usual(forms: pa.Array) -> pa.Array:
@@ -372,18 +402,21 @@ def candidate_pairs(distinct: DataFrame, shares: dict[str, float], left: str, ri
 
     # Line breaks mean nothing in a question.
     distinct = distinct.select("field", "split", "key", F.when(F.col("field") == "question", F.translate("form", "\n", " ")).otherwise(F.col("form")).alias("form")).withColumn("lines", F.size(F.split("form", "\n")))
-    of_left, of_right = (distinct.where(F.col("split") == split).select("field", F.col("key").alias(f"key_{n}"), F.col("lines").alias(f"lines_{n}"), "form") for split, n in ((left, "left"), (right, "right")))
+    of_left, of_right = (distinct.where(F.col("split") == split).select("field", short_key().alias(f"key_{n}"), F.col("lines").alias(f"lines_{n}"), "form") for split, n in ((left, "left"), (right, "right")))
     chosen = materialise(of_left.withColumn("marks", select("form")).select("field", "key_left", "lines_left", F.when(F.col("marks").isNull(), F.col("form")).alias("form"), F.explode_outer("marks").alias("m")).select("*", "m.*").drop("m"))
-    there = materialise(of_right.select("field", "key_right", "lines_right", F.explode(index("form")).alias("m")).select("*", "m.*").drop("m"))
+    there = materialise(of_right.select("field", "key_right", "lines_right", index("form").alias("m")).select("field", "key_right", "lines_right", "m.*"))
     fits = F.least("lines_left", "lines_right") >= SAME_SENTENCES * F.greatest("lines_left", "lines_right") - 1e-9
     wanted = chosen.where("form is null").drop("form")
-    misspelt = wanted.where("not exact").join(near_words(wanted, there), "word").withColumn("word", F.col("other")).drop("other")
-    met = wanted.unionByName(misspelt).drop("exact").join(there.drop("exact"), ["field", "figures", "word"]).where(fits)
-    leads = F.bit_or("lead")
-    found = met.groupBy("field", "key_left", "key_right", "line").agg(leads.alias("leads"), F.first("need").alias("need")).where(F.bit_count("leads") >= F.col("need")).select("field", "key_left", "key_right")
+    vocabulary = wanted.where("near_a").select(F.col("a").alias("word")).unionByName(wanted.where("near_b").select(F.col("b").alias("word"))).distinct()
+    close = near_words(vocabulary, there.select(F.explode("words").alias("word")).distinct())
+    of_a = wanted.where("near_a").join(close.withColumnRenamed("word", "a"), "a").withColumn("a", F.col("other")).drop("other")
+    of_b = wanted.where("near_b").join(close.withColumnRenamed("word", "b"), "b").withColumn("b", F.col("other")).drop("other")
+    ours = wanted.unionByName(of_a).unionByName(of_b).select(_of_field(_mark(F.col("figures"), F.col("a"), F.col("b"))).alias("mark"), "key_left", "lines_left")
+    theirs = there.select("field", "key_right", "lines_right", F.explode("marks").alias("mark")).select(_of_field(F.col("mark")).alias("mark"), "key_right", "lines_right")
+    found = ours.join(theirs, "mark").where(fits).select("key_left", "key_right")
     poor = chosen.where("form is not null").select("field", "key_left", "lines_left", F.explode(usual("form")).alias("mark"))
     every = of_right.select("field", "key_right", "lines_right", F.explode(usual("form")).alias("mark"))
-    return found.unionByName(poor.join(every, ["field", "mark"]).where(fits).select("field", "key_left", "key_right")).distinct()
+    return found.unionByName(poor.join(every, ["field", "mark"]).where(fits).select("key_left", "key_right")).distinct()
 
 
 def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
@@ -404,7 +437,8 @@ def overlapping_texts(instances: DataFrame, left: str, right: str) -> tuple[Data
         return pa.array([coverage(f, s, t, common) for f, s, t in zip(field.to_pylist(), x.to_pylist(), y.to_pylist())], pa.list_(pa.float64()))
 
     equal = of_left.select("field", "bag", "key_left").join(of_right.select("field", "bag", "key_right"), ["field", "bag"]).select("field", "key_left", "key_right")
-    compared = candidates.join(equal, ["field", "key_left", "key_right"], "left_anti").join(of_left.drop("bag"), ["field", "key_left"]).join(of_right.drop("bag"), ["field", "key_right"])
+    sides = (t.select(F.xxhash64("field", f"key_{n}").alias(n), *(["field"] if n == "left" else []), f"key_{n}", "bag", f"text_{n}").withColumnRenamed("bag", f"bag_{n}") for t, n in ((of_left, "left"), (of_right, "right")))
+    compared = candidates.select(F.col("key_left").alias("left"), F.col("key_right").alias("right")).join(next(sides), "left").join(next(sides), "right").where("bag_left != bag_right")
     verified = compared.withColumn("c", covers("field", "text_left", "text_right")).where("c is not null").select("field", "key_left", "key_right", F.col("c")[0].alias("cover_left"), F.col("c")[1].alias("cover_right"))
     return table, verified.unionByName(equal.withColumns({"cover_left": F.lit(1.0), "cover_right": F.lit(1.0)}))
 
