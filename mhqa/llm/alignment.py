@@ -60,7 +60,7 @@ def parts(sentence: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, .
         if t.isdigit():
             names.append(t)
             written.append(t)
-        elif re.match(f"[{_IDEO}]", t):
+        elif "㐀" <= t[0] <= "鿿" or "぀" <= t[0] <= "ヿ":
             words += [t] if len(t) == 1 else list(map("".join, zip(t, t[1:])))
         elif t[0].isupper():
             names.append(sound(t))
@@ -76,9 +76,9 @@ class Tables:
 
     def __init__(self, entries: Iterable[tuple[str, str, float]], left: dict[str, float], right: dict[str, float]) -> None:
         self.left, self.right = left, right
-        self.shares: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        self.shares: dict[str, dict[str, float]] = defaultdict(dict)
         for f, e, share in entries:
-            self.shares[f].append((e, share))
+            self.shares[f][e] = share
 
     @classmethod
     def of_rows(cls, kinds: list[str], fs: list[str | None], es: list[str | None], values: list[float]) -> Tables:
@@ -135,10 +135,10 @@ class Sides:
             ours, theirs = ({t: k for k, t in enumerate({t for of_words, _ in side for t in of_words})} for side in (left, right))
             shares = np.zeros((len(ours), len(theirs)))
             for f, k in ours.items():
-                for e, share in tables.shares.get(f, ()):
-                    at = theirs.get(e)
-                    if at is not None:
-                        shares[k, at] = share
+                entries = tables.shares.get(f)
+                if entries:
+                    for e in entries.keys() & theirs.keys():
+                        shares[k, theirs[e]] = entries[e]
             self.left_words, self.right_words = _matrix([w for w, _ in left], ours), _matrix([w for w, _ in right], theirs)
             self.shares = shares
             self.bags = (self.left_words > 0) @ shares  # of each target, its words in the other language
