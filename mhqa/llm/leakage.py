@@ -2,7 +2,8 @@
 
 Questions, passage sentences and whole passages of the held-out items are token units. Rare pairs of neighbouring tokens are seeds that lead from
 a document to a unit and a place; there the unit and the text are tiled greedily by running Karp-Rabin matching: the longest common pieces that
-don't overlap are marked first. The covered share of the unit's tokens, and of those that only this item has, decides.
+don't overlap are marked first, by hashes that roll over both texts. Places of one unit that fail alone are tiled together, so reordered passages count. The covered share of
+the unit's tokens, and of those that only this item has, decides. Each document is put into tokens once; those of documents with a seed are kept for the tiling.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mhqa.llm.textforms import clean, plain
+from mhqa.runtime import materialise
 
 _IDEO = "㐀-鿿぀-ヿ"
 _TOKEN = re.compile(rf"[{_IDEO}]|\d+|[^\W\d_{_IDEO}]+")
@@ -27,7 +29,11 @@ _HYPHENATED = re.compile(r"(?<=[^\W\d_])[-‐­]\s*\n\s*(?=[^\W\d_])")
 _MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 _SENTENCE = re.compile(rf"(?<=[.!?؟।])\s+(?!(?:{_MONTHS})\b)|(?<=[。！？])")
 
-SEED_ITEMS, SEED_HITS, FIGURE = 12, 2, 0.3
+SEED_HITS, FIGURE = 2, 0.3
+#: Pairs beside a name or figure that more items have aren't needed as seeds where each part of a unit has a rarer one.
+SEED_ITEMS = 12
+#: Units of fewer tokens must be covered whole; a single token is no unit.
+SHORT = 4
 #: Each part of so many pairs of a unit has a seed, the rarest of its pairs if there is no other.
 SEED_PART = 8
 #: A token is an item's own if no larger share of the held-out items and of the documents (or, of few, no more of them) has it; or if, of the documents, most
@@ -37,7 +43,9 @@ COVERAGE, OWN_COVERAGE = 0.78, 0.78
 #: With so high a coverage, fewer of the own tokens suffice: a name may be lost or run together with the next word.
 HIGH_COVERAGE, LOW_OWN_COVERAGE = 0.93, 0.6
 RUN_WORDS, RUN_CHARACTERS, RUN_COVERAGE = 18, 40, 0.8
-MAX_REFERENCE_BYTES = 256 << 20
+#: Held-out items of more bytes are searched in parts. A byte takes some 50 in a worker.
+MAX_REFERENCE_BYTES = 8 << 20
+ROLL, PRIME = 1_000_003, (1 << 61) - 1
 
 
 def tokens(text: str) -> list[str]:
@@ -65,79 +73,90 @@ def units_of(question: str | None, passage: str | None) -> list[tuple[str, list[
 
 
 class Reference:
-    """The units of the held-out items and the seeds that lead to them. ``items`` has (item_id, question, passage), ``documents`` how many documents have each name, and have it beside all other names of a unit; without it none has."""
+    """The units of the held-out items and the seeds that lead to them. ``items`` has (item_id, question, passage), ``documents`` how many documents have each name, and have it beside all other names of a unit; without it none has.
+
+    Units of equal tokens are one unit of several items, and items with an equal question count as one where it matters how many items have a token.
+    """
 
     def __init__(self, items: list[tuple[int, str | None, str | None]], documents: dict[str, tuple[int, int]] | None = None, total: int = 0) -> None:
-        self.units: list[tuple[int, str, list[str]]] = []  # item, kind, tokens
-        self.own: list[dict[int, float]] = []  # weights of the positions of capitalised tokens that few items and documents have, and of figures
         texts = [clean(text) for _, question, passage in items for text in (question, passage) if text]
         written = {t for text in texts for t in _TOKEN.findall(text)}
         names = {plain(t) for t in written if t[0].isupper()} - {plain(t) for t in written if t.islower()}
-        parts = [(item, [(k, t) for k, t in units_of(question, passage) if len(t) >= 4]) for item, question, passage in items]
-        with_token, with_pair = (Counter(x for _, xs in held.items() for x in xs) for held in (_of_items(parts, 1), _of_items(parts, 2)))
-        rare = max(OWN_LEAST, OWN_SHARE * len({item for item, *_ in items}))
+        parts = [(item, [(k, t) for k, t in units_of(question, passage) if len(t) >= 2]) for item, question, passage in items]
+        groups: dict[tuple[str, ...], list[tuple[str, list[str]]]] = defaultdict(list)
+        for item, mine in parts:
+            groups[next((("question", *t) for k, t in mine if k == "question"), ("item", str(item)))] += mine
+        with_token, with_pair = (Counter(x for mine in groups.values() for x in {x for _, unit in mine for x in zip(*(unit[k:] for k in range(n)))}) for n in (1, 2))
+        rare = max(OWN_LEAST, OWN_SHARE * len(groups))
         few = {t for t in names if with_token[t,] <= rare}
-        self.names = [frozenset(few.intersection(unit)) for _, mine in parts for _, unit in mine]  # of each unit
+        owners: dict[tuple[str, tuple[str, ...]], set[int]] = defaultdict(set)
+        for item, mine in parts:
+            for kind, unit in mine:
+                owners[kind, tuple(unit)].add(item)
+        self.units: list[tuple[tuple[int, ...], str, list[str]]] = [(tuple(sorted(held)), kind, list(unit)) for (kind, unit), held in owners.items()]  # items, kind, tokens
+        self.names = [frozenset(few.intersection(unit)) for _, _, unit in self.units]  # of each unit
         rare = max(OWN_LEAST, OWN_SHARE * total)
         few_everywhere = {t for t in few for n, beside in [(documents or {}).get(t, (0, 0))] if n <= rare or beside > LEAKED_SHARE * n}
+        self.own: list[dict[int, float]] = []  # weights of the positions of capitalised tokens that few items and documents have, and of figures
         self.seeds: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         self.hits: list[int] = []  # seeds on one diagonal that a unit needs
-        for item, mine in parts:
-            for kind, unit in mine:
-                number = len(self.units)
-                self.units.append((item, kind, unit))
-                own = {i: FIGURE if t.isdigit() else 1.0 for i, t in enumerate(unit) if t.isdigit() or t in few_everywhere}
-                self.own.append(own)
-                leads = {i for i, t in enumerate(unit) if t in few_everywhere} or set(own)
-                pairs = list(zip(unit, unit[1:]))
-                chosen = {i for i, pair in enumerate(pairs) if (i in leads or i + 1 in leads) and with_pair[pair] <= SEED_ITEMS}
-                for begin in range(0, len(pairs), SEED_PART):
-                    part = range(begin, min(begin + SEED_PART, len(pairs)))
-                    if chosen.isdisjoint(part):
-                        chosen.add(min(part, key=lambda i: (with_pair[pairs[i]], i)))
-                for i in chosen:
-                    self.seeds[pairs[i]].append((number, i))
-                self.hits.append(min(SEED_HITS, len(chosen)))
-
-
-def _of_items(parts: list[tuple[int, list[tuple[str, list[str]]]]], n: int) -> dict[int, set[tuple[str, ...]]]:
-    """The distinct runs of ``n`` tokens of each item."""
-    found: dict[int, set[tuple[str, ...]]] = defaultdict(set)
-    for item, mine in parts:
-        for _, unit in mine:
-            found[item].update(zip(*(unit[k:] for k in range(n))))
-    return found
+        for number, (_, _, unit) in enumerate(self.units):
+            own = {i: FIGURE if t.isdigit() else 1.0 for i, t in enumerate(unit) if t.isdigit() or t in few_everywhere}
+            self.own.append(own)
+            leads = {i for i, t in enumerate(unit) if t in few_everywhere} or set(own)
+            pairs = list(zip(unit, unit[1:]))
+            chosen = {i for i, pair in enumerate(pairs) if (i in leads or i + 1 in leads) and with_pair[pair] <= SEED_ITEMS}
+            for begin in range(0, len(pairs), SEED_PART):
+                part = range(begin, min(begin + SEED_PART, len(pairs)))
+                if chosen.isdisjoint(part):
+                    chosen.add(min(part, key=lambda i: (with_pair[pairs[i]], i)))
+            for i in chosen:
+                self.seeds[pairs[i]].append((number, i))
+            self.hits.append(min(SEED_HITS, len(chosen)))
+
+
+def rolling(codes: list[int]) -> list[int]:
+    """Hashes of all beginnings of a text of word codes; each follows from the one before."""
+    out = [0]
+    for c in codes:
+        out.append((out[-1] * ROLL + c) % PRIME)
+    return out
 
 
 def tile(left: list[str], right: list[str], least: int = 2) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (begin in left, begin in right, length) of common pieces of ``least`` tokens or more, the longest first, none overlapping.
 
-    Running Karp-Rabin: pieces of the current search length are looked up by hash and extended; when one longer than twice the length comes
+    Running Karp-Rabin: pieces of the current search length are looked up by their rolling hash and extended; when one longer than twice the length comes
     up, the length is raised to it.
     """
-    free_left, free_right = [True] * len(left), [True] * len(right)
+    code = {t: k for k, t in enumerate(set(left), 1)}
+    a, b = [code[t] for t in left], [code.get(t, 0) for t in right]  # 0: a token that ``left`` lacks, no part of any piece
+    hash_a, hash_b = rolling(a), rolling(b)
+    free_a, free_b = [True] * len(a), [c > 0 for c in b]
     tiles: list[tuple[int, int, int]] = []
-    length = min(len(left), len(right), 20)
+    length = min(len(a), len(b), 20)
     while length >= least:
-        places: dict[int, list[int]] = defaultdict(list)
-        for j in _free_runs(free_right, length):
-            places[hash(tuple(right[j : j + length]))].append(j)
+        power = pow(ROLL, length, PRIME)
+        places: dict[int, list[int]] = {}
+        for j in _free_runs(free_b, length):
+            places.setdefault((hash_b[j + length] - hash_b[j] * power) % PRIME, []).append(j)
         matches, longest = [], length
-        for i in _free_runs(free_left, length):
-            for j in places.get(hash(tuple(left[i : i + length])), ()):
-                n = 0
-                while i + n < len(left) and j + n < len(right) and free_left[i + n] and free_right[j + n] and left[i + n] == right[j + n]:
-                    n += 1
-                if n >= length:
-                    matches.append((n, i, j))
-                    longest = max(longest, n)
+        if places:
+            for i in _free_runs(free_a, length):
+                for j in places.get((hash_a[i + length] - hash_a[i] * power) % PRIME, ()):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
+                        n += 1
+                    if n >= length:
+                        matches.append((n, i, j))
+                        longest = max(longest, n)
         if longest > 2 * length:
             length = longest
             continue
         for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if all(free_left[i : i + n]) and all(free_right[j : j + n]):
-                free_left[i : i + n] = [False] * n
-                free_right[j : j + n] = [False] * n
+            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
+                free_a[i : i + n] = [False] * n
+                free_b[j : j + n] = [False] * n
                 tiles.append((i, j, n))
         length = length // 2 if length > 2 * least else length - 1
     return tiles
@@ -157,17 +176,31 @@ def near(a: str, b: str) -> bool:
         return True
     n, m = len(a), len(b)
     limit = 2 if min(n, m) >= 8 else 1 if min(n, m) >= 4 else 0
-    if abs(n - m) > limit or a.isdigit() or b.isdigit():
+    if abs(n - m) > limit or not limit or a.isdigit() or b.isdigit():
+        return False
+    k = 0
+    while k < n and k < m and a[k] == b[k]:
+        k += 1
+    while n > k and m > k and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[k:n], b[k:m]  # what is left without the common begin and end
+    n, m = n - k, m - k
+    if min(n, m) == 0 or max(n, m) == 1 or a == b[::-1] and n == 2:
+        return max(n, m) <= limit or n == 2
+    if limit == 1:
         return False
+    older: list[int] = []
     before = list(range(m + 1))
     for i in range(1, n + 1):
         now = [i]
         for j in range(1, m + 1):
             cost = min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                cost = min(cost, older[j - 2] + 1)  # noqa: F821
+                cost = min(cost, older[j - 2] + 1)
             now.append(cost)
-        older, before = before, now  # noqa: F841
+        if min(now) > limit:
+            return False
+        older, before = before, now
     return before[m] <= limit
 
 
@@ -204,27 +237,47 @@ def leaks(text: list[str], reference: Reference) -> dict[int, tuple[str, float,
                 hits[unit][p - i] += 1
     found: dict[int, tuple[str, float, float]] = {}
     for unit, diagonals in hits.items():
-        item, kind, target = units[unit]
-        if item in found:
+        items, kind, target = units[unit]
+        if all(item in found for item in items):
             continue
-        own = reference.own[unit]
+        own, need, slack = reference.own[unit], reference.hits[unit], 4 + len(target) // 6
         tried: list[int] = []
+        windows: list[tuple[int, int]] = []
+        detail = None
         for d, _ in diagonals.most_common():
             if any(abs(d - x) <= 6 for x in tried):
                 continue
             tried.append(d)
-            if sum(n for x, n in diagonals.items() if abs(x - d) <= 6) < reference.hits[unit]:
-                continue
-            slack = 4 + len(target) // 6
-            window = text[max(0, d - slack) : d + len(target) + slack]
-            mark = covered(target, window)
-            share, own_share = sum(mark) / len(mark), _own_share(mark, own, 0, len(mark))
-            if run(mark, target, own) if kind == "passage" else holds(share, own_share):
-                found[item] = (kind, share, own_share)
-                break
+            windows.append((max(0, d - slack), d + len(target) + slack))
+            if sum(n for x, n in diagonals.items() if abs(x - d) <= 6) >= need:
+                detail = _judged(kind, target, text[windows[-1][0] : windows[-1][1]], own)
+                if detail:
+                    break
+        if not detail and len(windows) > 1 and sum(diagonals.values()) >= need:  # parts in another order
+            joined: list[str] = []
+            end = 0
+            for low, high in sorted(windows):
+                if low > end:
+                    joined.append("")
+                joined += text[max(low, end) : high]
+                end = max(end, high)
+            detail = _judged(kind, target, joined, own)
+        if detail:
+            found.update((item, detail) for item in items if item not in found)
     return found
 
 
+def _judged(kind: str, target: list[str], window: list[str], own: dict[int, float]) -> tuple[str, float, float] | None:
+    """(kind, coverage, own coverage) if ``window`` holds the unit ``target``, else None."""
+    mark = covered(target, window)
+    share, own_share = sum(mark) / len(mark), _own_share(mark, own, 0, len(mark))
+    if len(target) < SHORT:
+        good = any(target == window[j : j + len(target)] for j in range(len(window) - len(target) + 1))
+    else:
+        good = run(mark, target, own) if kind == "passage" else holds(share, own_share)
+    return (kind, share, own_share) if good else None
+
+
 def holds(share: float, own_share: float) -> bool:
     return share >= COVERAGE and own_share >= OWN_COVERAGE or share >= HIGH_COVERAGE and own_share >= LOW_OWN_COVERAGE
 
@@ -257,58 +310,83 @@ def run(mark: list[bool], unit: list[str], own: dict[int, float]) -> bool:
     return False
 
 
-def document_counts(documents: DataFrame, held: list[tuple[int, str | None, str | None]]) -> tuple[dict[str, tuple[int, int]], int]:
-    """({name: (documents that have it, those that have all names of one of its units)}, all documents). No more comes to the driver than the items have names."""
-    units_names = documents.sparkSession.sparkContext.broadcast(Reference(held).names)
+def candidates(documents: DataFrame, reference: Reference) -> DataFrame:
+    """What one pass over the documents gives: (doc_id, text) with the tokens of each document that has a seed, and (token, n, beside) with how many documents of a task have each name, and have it beside all names of one of its units; the empty token counts all documents."""
+    shared = documents.sparkSession.sparkContext.broadcast(reference)
+    key = dict(documents.select("doc_id").dtypes)["doc_id"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_token: dict[str, list[frozenset[str]]] = defaultdict(list)
-        for names in set(units_names.value):
+        for names in set(shared.value.names):
             for t in names:
                 of_token[t].append(names)
+        seeds = shared.value.seeds.keys()
         counts, beside = Counter(), Counter()
+        kind = None
         for batch in batches:
-            for text in batch["text"].to_pylist():
+            kind = batch["doc_id"].type
+            kept, texts = [], []
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 counts[""] += 1
                 if text:
-                    there = set(document_tokens(text))
+                    found = document_tokens(text)
+                    there = set(found)
                     for t in there & of_token.keys():
                         counts[t] += 1
                         beside[t] += any(names <= there for names in of_token[t])
-        yield pa.RecordBatch.from_pydict({"token": list(counts), "n": list(counts.values()), "beside": [beside[t] for t in counts]}, pa.schema([("token", pa.string()), ("n", pa.int64()), ("beside", pa.int64())]))
+                    if not seeds.isdisjoint(zip(found, found[1:])):
+                        kept.append(doc)
+                        texts.append(" ".join(found))
+            none = [None] * len(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, kind), pa.array(texts, pa.string()), pa.array(none, pa.string()), pa.array(none, pa.int64()), pa.array(none, pa.int64())], names=["doc_id", "text", "token", "n", "beside"])
+        if kind is not None:
+            none = [None] * len(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(none, kind), pa.array(none, pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([beside[t] for t in counts], pa.int64())],
+                names=["doc_id", "text", "token", "n", "beside"],
+            )
 
-    rows = documents.select("text").mapInArrow(count, "token string, n long, beside long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside")).collect()
-    found = {r.token: (r.n, r.beside) for r in rows}
-    return found, found.pop("", (0, 0))[0]
+    return documents.select("doc_id", "text").mapInArrow(scan, f"doc_id {key}, text string, token string, n long, beside long")
 
 
 def leaked(documents: DataFrame, items: DataFrame, *, max_bytes: int = MAX_REFERENCE_BYTES) -> DataFrame:
     """p8_found with details: (doc_id, item_id, unit, coverage, own_coverage), one row for each document and item of which it holds a unit.
 
-    The held-out items are fixed in number; they are broadcast after a check of their size (ValueError beyond ``max_bytes``: split the items
-    and take the union). Null and empty texts, questions and passages give no row. Documents aren't shuffled.
+    The held-out items are broadcast after a check of their size; beyond ``max_bytes`` they are taken in parts by hash, each part as a search of its own (how rare a name is then goes by its
+    part). Null and empty texts, questions and passages give no row. Documents aren't shuffled.
     """
     size = items.agg(F.sum(F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("passage"), F.lit(0)))).first()[0] or 0
-    if size > max_bytes:
-        raise ValueError(f"the held-out items exceed {max_bytes} bytes; pass them in parts")
-    held = [tuple(r) for r in items.select("item_id", "question", "passage").distinct().toLocalIterator()]
-    shared = items.sparkSession.sparkContext.broadcast((held, *document_counts(documents, held)))
+    parts = -(-size // max_bytes) or 1
+    out = None
+    for k in range(parts):
+        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
+        found = _leaked(documents, [tuple(r) for r in part.select("item_id", "question", "passage").distinct().toLocalIterator()])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _leaked(documents: DataFrame, held: list[tuple[int, str | None, str | None]]) -> DataFrame:
+    spark = documents.sparkSession
+    scanned = materialise(candidates(documents, Reference(held)))
+    # No more rows come to the driver than the items have names.
+    counts = {r.token: (r.n, r.beside) for r in scanned.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside")).collect()}
+    total = counts.pop("", (0, 0))[0]
+    shared = spark.sparkContext.broadcast(Reference(held, counts, total))
     key = dict(documents.select("doc_id").dtypes)["doc_id"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reference = Reference(*shared.value)
+        reference = shared.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if text:
-                    rows += [(doc, item, *detail) for item, detail in leaks(document_tokens(text), reference).items()]
+                rows += [(doc, item, *detail) for item, detail in leaks(text.split(" "), reference).items()]
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], batch["doc_id"].type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64())],
                 names=["doc_id", "item_id", "unit", "coverage", "own_coverage"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(find, f"doc_id {key}, item_id long, unit string, coverage double, own_coverage double")
+    return scanned.where("text is not null").select("doc_id", "text").mapInArrow(find, f"doc_id {key}, item_id long, unit string, coverage double, own_coverage double")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
