@@ -8,7 +8,7 @@ looked at twice.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -41,6 +41,16 @@ NAME_CUES = (
     "मेरा नाम", "अनुवादक:", "सादर", "Chamo-me", "O meu nome é", "Traduzido por", "Revisto por", "Revisado por", "Atenciosamente", "Cumprimentos", "Mi chiamo", "Tradotto da", "Rivisto da", "Distinti saluti", "Cordiali saluti", "Saluti,", "Mijn naam is", "Vertaald door",
     "Nagekeken door", "groet,", "groeten,", "Benim adım", "Adım ", "Çeviren:", "Kontrol eden:", "Saygılarımla", "Selamlar",
 )
+#: Roles that, at the beginning of a line, announce a person who takes part, if the name fills the line or a bracket, comma or full stop follows.
+LINE_CUES = (
+    "Written by", "Prepared by", "Edited by", "Submitted by", "Approved by", "Author:", "Editor:", "Interpreter:", "Contributor:", "Moderator:", "Curator:", "Proofreader:", "Contact:", "Sender:", "Name:", "Best,", "Warmly,", "All the best,", "Verfasst von", "Autor:", "Autorin:",
+    "Redaktion:", "Redakteur:", "Redakteurin:", "Name:", "Rédigé par", "Auteur :", "Auteure :", "Rédacteur :", "Nom :", "Redactado por", "Autora:", "Nombre:", "Escrito por", "Scritto da", "Autore:", "Geschreven door", "Auteur:", "Redacteur:", "Napisał", "Redaktor:", "Redaktorka:",
+    "Автор:", "Редактор:", "Имя:", "Написал", "Написала", "Yazan:", "Editör:", "作者：", "编辑：", "姓名：", "編集者：", "著者：", "氏名：", "نویسنده:", "الكاتب:", "المحرر:", "लेखक:", "संपादक:",
+)
+#: What speakers say before their own name.
+SELF_CUES = ("I'm ", "I’m ", "I am ", "Ich bin ", "Je suis ", "Soy ", "Sono ", "Eu sou ", "Ik ben ", "Jestem ", "Jag är ", "Ben ")
+#: Cues before account numbers.
+ACCOUNT_CUES = ("IBAN", "iban", "card", "Card", "Karte", "karte", "carte", "Carte", "tarjeta", "cartão", "carta di", "kaart", "karty", "карт", "account", "Account", "Konto", "konto", "compte", "cuenta", "conto", "rekening")
 TITLES = (
     "Dr.", "Dr ", "Mr.", "Mr ", "Ms.", "Ms ", "Mrs.", "Mrs ", "Miss ", "Prof.", "Professor ", "Sir ", "Frau ", "Herr ", "Herrn ", "Mme ", "Mme. ", "Madame ", "Mlle ", "M. ", "Monsieur ", "Sr.", "Sra.", "Srta.", "Don ", "Doña ", "Pan ", "Pani ", "г-жа ", "г-н ", "госпожа ",
     "господин ", "Señor ", "Señora ", "Sig.", "Sig.ra ", "Dott.", "Dra.", "Dhr.", "Mevr.", "Sayın ", "آقای ", "خانم ", "السيد ", "السيدة ", "श्री ", "श्रीमती ",
@@ -66,7 +76,8 @@ STREETS = {
 }
 # ----------------------------------------------------------------------------------------------------------------------
 
-KINDS = ("name", "email", "phone", "id", "address")
+#: The last one, bank accounts and cards, is only for redaction.
+KINDS = ("name", "email", "phone", "id", "address", "account")
 _D = "0-9０-９۰-۹٠-٩०-९"
 _UP, _LOW = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĶĹĻĽŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽȘȚЀ-ЯΑ-Ω", "a-zß-öø-ÿĀ-ɏЀ-ӿά-ώ"
 _S = r"[^\S\r\n]*(?:\r?\n)?[^\S\r\n]*"  # spaces with at most one line break
@@ -128,7 +139,7 @@ def automaton():  # noqa: ANN201
     import ahocorasick
 
     by: dict[str, list[tuple[str, str]]] = {}
-    for what, words in (("email", AT), ("id", ID_CUES), ("phone", PHONE_CUES), ("name", NAME_CUES), ("title", SURE_TITLES)):
+    for what, words in (("email", AT), ("id", ID_CUES), ("phone", PHONE_CUES), ("name", NAME_CUES), ("line", LINE_CUES), ("self", SELF_CUES), ("account", ACCOUNT_CUES), ("title", SURE_TITLES)):
         for w in words:
             by.setdefault(w, []).append((what, ""))
     for language, words in STREETS.items():
@@ -172,6 +183,37 @@ def _digits(value: str) -> int:
     return sum(c.isdigit() for c in value)
 
 
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
+_CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])")
+
+
+def iban_valid(value: str) -> bool:
+    """Whether an international account number has its right length at least and check digits (remainder 1 by 97)."""
+    bare = value.replace(" ", "")
+    return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
+def luhn_valid(value: str) -> bool:
+    """Whether the digits of a card number add up (each second one from the end doubled)."""
+    digits = [int(c) for c in reversed(value) if c.isdigit()]
+    return len(digits) >= 12 and len(set(digits)) > 1 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+
+
+def _account(text: str, at: int) -> tuple[int, int] | None:
+    """The account or card number that stands within a line's reach of ``at`` and whose check digits are right."""
+    for pattern, valid in ((_IBAN, iban_valid), (_CARD, luhn_valid)):
+        for m in pattern.finditer(text, max(0, at - 4), min(len(text), at + 90)):
+            end = m.end()
+            while end > m.start() + 12 and not valid(text[m.start() : end]):  # the next word may look like a part
+                end = text.rfind(" ", m.start(), end)
+            if end > m.start() + 12:
+                return m.start(), end
+    return None
+
+
+_LINE_END = re.compile(r"[^\S\r\n]*(?:$|[\r\n(\[,;.<|—–-])")
+
+
 def _names(text: str, at: int, cue: str) -> tuple[int, int] | None:
     at = _LEAD.match(text, at).end()
     while title := _TITLE.match(text, at):
@@ -204,6 +246,19 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     blocked.append(value.span(1))
             elif what == "phone":
                 phones.append((start, end, extra))
+            elif what == "account":
+                if span := _account(text, start if text[start:end].upper() == "IBAN" else end):
+                    found["account", span[0]] = span[1]
+                    blocked.append(span)
+            elif what == "line":
+                begin = max(text.rfind("\n", 0, start), text.rfind(">", max(0, start - 2), start)) + 1
+                span = _names(text, end, text[start:end]) if not text[begin:start].strip(" \t*-•#>_") else None
+                if span and _LINE_END.match(text, span[1]):
+                    found["name", span[0]] = span[1]
+            elif what == "self":
+                m = None if start and text[start - 1].isalnum() else _LATIN_NAME.match(text, end)
+                if m and not _TITLE.match(text, end):
+                    found["name", m.start()] = m.end()
             elif what in ("name", "title"):
                 if start and text[start - 1].isalnum() and text[start].isascii() and text[start].isalpha():
                     continue  # within a word
@@ -239,7 +294,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     tried.add(m.start())
     out: list[tuple[str, int, int]] = []
     for (kind, begin), end in sorted(found.items(), key=lambda x: (x[0][1], -x[1])):
-        if kind == "phone" and any(a <= begin < b for a, b in blocked):
+        if kind in ("phone", "id") and any(a <= begin < b for a, b in blocked if kind == "phone" or ("account", a) in found):
             continue
         if out and begin < out[-1][2] and kind != "email":
             continue
@@ -257,13 +312,13 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, begin_at, length): one row for each piece of personal information. Null and empty texts give none; other columns are not read."""
+def occurrences(df: DataFrame, key: str, text: str, *, wanted: Collection[str] = KINDS[:5]) -> DataFrame:
+    """(key, kind, begin_at, length): one row for each piece of personal information of the kinds ``wanted``. Null and empty texts give none; other columns are not read."""
     kind = dict(df.select(key).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *span) for k, t in zip(batch[0].to_pylist(), batch[1].to_pylist()) if t for span in find(t)]
+            rows = [(k, *span) for k, t in zip(batch[0].to_pylist(), batch[1].to_pylist()) if t for span in find(t) if span[0] in wanted]
             keys, kinds, begins, ends = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch[0].type), pa.array(kinds, pa.string()), pa.array(begins, pa.int64()), pa.array([e - b for b, e in zip(begins, ends)], pa.int64())], names=[key, "kind", "begin_at", "length"])
 
