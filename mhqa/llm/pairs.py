@@ -19,12 +19,14 @@ from mhqa.runtime import materialise
 # -- fixed values ------------------------------------------------------------------------------------------------------
 #: Words that stand for a missing answer.
 PLACEHOLDERS = frozenset(
-    "n/a|na|n.a.|n.a|none|null|nil|nan|nul|undefined|unknown|unk|tbd|tba|tbc|todo|to do|fixme|xxx|xx|x|empty|blank|missing|placeholder|answer|no answer"
+    "n/a|na|n.a.|n.a|none|null|nil|nan|nul|undefined|unknown|unk|tbd|tba|tbc|todo|to do|fixme|xxx|xx|no answer"
     "|noanswer|no_answer|#n/a|not available|not applicable|keine angabe|k.a.|s/o|sin respuesta|sans réponse|нет данных|н/д|无|暂无|なし|不明|lorem ipsum".split("|")
 )
-#: Stems that occur where somebody declines to answer, for each language of the inventory: ability, answering, information, apology, model.
+#: Words that do so in brackets only.
+BRACKETED = frozenset("empty blank missing placeholder answer text value x".split())
+#: Stems of what is declined, for each language of the inventory: answering, information, and the model that speaks.
 REFUSAL = {
-    "en": "answer respond reply unable decline comply guess information can't cannot help sorry language_model assistant",
+    "en": "answer respond reply comply guess information help language_model assistant to_say to_comment",
     "de": "antwort auskunft beantwort beurteil sprachmodell äußer leider kann_ich informationen",
     "fr": "répond réponse prononc modèle_de_langage désolé refus renseign information",
     "es": "respond respuesta contest modelo_de_lenguaje siento pronunci información",
@@ -49,9 +51,20 @@ REFUSAL = {
     "id": "jawab maaf model_bahasa informasi",
     "sw": "jibu samahani taarifa",
 }
+#: Signs of declining, as patterns: negation, inability, apology, preferring not to. English ones need a speaker or a pointer to the question beside them.
+DECLINING = {
+    "de": r"\bnicht|\bkein|\bleider|\bleid\b", "fr": r"\bne\b|\bn['’]|\bpas\b|impossible|malheureusement|désol", "es": r"\bno\b|imposible|lament|siento|\bprefier", "pt": r"\bnão\b|impossível|infelizmente|\bprefir|desculp",
+    "it": r"\bnon\b|impossibile|dispiac|spiacent|\bpreferisc", "nl": r"\bniet\b|\bgeen\b|helaas|spijt", "pl": r"\bnie\b|przykro|przepraszam|\bwolę\b", "sv": r"\binte\b|\binge[nt]|tyvärr|ledsen", "tr": r"m[ae]m|m[ae]y[ıi]|değil|\byok|maalesef|üzgün",
+    "ru": r"\bне\b|\bнет\b|нечего|сожален|извин", "el": r"\bδεν\b|λυπάμαι|αδυνατ", "ar": r"\bلا\b|\bلم\b|\bلن\b|عدم|ليس|آسف|أعتذر", "fa": r"نمی|\bنت|\bند|نیست|متأسف|متاسف", "ur": "نہیں|معذرت", "hi": "नहीं|क्षमा|असमर्थ", "bn": "না|নেই|দুঃখিত",
+    "zh": "无法|不|抱歉|没有|恕", "ja": "ません|ない|控え|申し訳", "ko": "없|않|못|죄송", "th": "ไม่|ขออภัย", "vi": r"\bkhông\b|xin lỗi|tiếc", "id": r"\btidak\b|\bmaaf\b|\bbelum\b", "sw": r"\bsiwezi|\bsamahani|\bhatu",
+}
+ENGLISH_DECLINING = r"\bcan(?:no|['’])t\b|\bcould(?: not|n['’]t)\b|\bunable\b|\bnot\b|\bno\b|\bdecline|\boutside\b|\bsorry\b|\bapolog|\bunfortunately\b|\bwon['’]t\b|\bdon['’]t\b"
+ENGLISH_SPEAKER = r"\bi\b|\bi['’]|\bme\b|\bmy\b|\bwe\b|\bthis\b|\bthat\b|\bhere\b|\bsorry\b|\bquestions?\b"
 # ----------------------------------------------------------------------------------------------------------------------
 
-_REFUSAL = re.compile("|".join(re.escape(s.replace("_", " ")) for stems in REFUSAL.values() for s in stems.split()))
+_STEMS = {language: re.compile("|".join(re.escape(s.replace("_", " ")) for s in stems.split())) for language, stems in REFUSAL.items()}
+_DECLINING = {language: re.compile(pattern) for language, pattern in DECLINING.items()}
+_ENGLISH = re.compile(ENGLISH_DECLINING), re.compile(ENGLISH_SPEAKER)
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
 _IDEOGRAPH = re.compile("[㐀-鿿぀-ヿ฀-๿]")
 _NAME = re.compile("[A-ZÀ-ÖØ-ÞĀ-ɏ][^\\W\\d_]{2,}|[A-Za-zÀ-ɏ]{3,}|[Ѐ-Я][Ѐ-ӿ]{2,}")
@@ -61,9 +74,10 @@ SPIKE, SPIKE_LEAST, SPIKE_WIDTH = 5.0, 8, 5
 
 
 def is_empty(answer: str | None) -> bool:
-    """Null, blank, signs only, or a placeholder word."""
+    """Null, blank, signs only, a placeholder word, or, in brackets, a word for a missing answer."""
     text = clean(answer).strip().casefold()
-    return not any(c.isalnum() for c in text) or text in PLACEHOLDERS or text.strip("[](){}<>*_-.\"' ") in PLACEHOLDERS
+    bare = text.strip("[](){}<>*_-.\"' ")
+    return not any(c.isalnum() for c in text) or text in PLACEHOLDERS or bare in PLACEHOLDERS or bare in BRACKETED and text[0] in "[({<" and text[-1] in "])}>"
 
 
 def tokens(text: str) -> list[str]:
@@ -81,11 +95,24 @@ def is_copy(question: str | None, answer: str | None) -> bool:
     return known >= COPY_PRECISION * len(a) and covered >= COPY_COVERAGE * sum(q.values())
 
 
+def declines(text: str) -> bool:
+    """Whether a text, in lower case, names what is declined (answering, information, the model that speaks) and, elsewhere, declines it."""
+    for language, stems in _STEMS.items():
+        if at := stems.search(text):
+            if language == "en":
+                if all(p.search(text) for p in _ENGLISH):
+                    return True
+            elif sign := _DECLINING[language].search(text):
+                if sign.span() != at.span() or _DECLINING[language].search(text, sign.end()) or stems.search(text, at.end()):
+                    return True
+    return False
+
+
 def is_refusal(answer: str | None, record: str) -> bool:
-    """Whether ``answer`` has the words of somebody who declines and neither a figure nor a name of the record; words in quotation marks don't count."""
+    """Whether ``answer`` declines: what is declined and a sign of declining in one language, and neither a figure nor a name of the record; words in quotation marks don't count."""
     text = clean(answer)
     plain = langid._QUOTED.sub(" ", text)
-    if any(c.isdigit() for c in plain) or plain != text or not _REFUSAL.search(plain.casefold()):
+    if any(c.isdigit() for c in plain) or plain != text or not declines(plain.casefold()):
         return False
     words = _TOKEN.findall(plain)
     if len(words) < 3 and not (_IDEOGRAPH.search(plain) and len(plain) >= 6):
@@ -128,12 +155,13 @@ def pair_features(instances: DataFrame, corpora: dict[str, bytes]) -> DataFrame:
 def shortened(pairs: DataFrame, sources: DataFrame | None) -> DataFrame:
     """(id): answers that are the beginning of another answer to the same source question, in any of its languages or in the source itself.
 
-    The distinct answers of a source are sorted by text; an answer and all that go on from it are then neighbours.
+    The distinct answers of a source are sorted by text; an answer and all that go on from it are then neighbours. A source is split by the first two letters, which an
+    answer shares with all that go on from it; answers without source have no neighbours.
     """
-    forms = pairs.where("form != '' and defect is null").select("source_id", "form")
+    forms = pairs.where("form != '' and defect is null and source_id is not null").select("source_id", "form")
     if sources is not None:
         forms = forms.unionByName(sources.select("source_id", F.expr("trim(TRAILING '.' FROM lower(answer))").alias("form")).where("form != ''"))
-    order = Window.partitionBy("source_id").orderBy("form")
+    order = Window.partitionBy("source_id", F.substring("form", 1, 2)).orderBy("form")
     cut = forms.distinct().withColumn("next", F.lead("form").over(order)).where(F.expr("startswith(next, form) and length(form) >= 2 and length(next) > length(form)"))
     whole = pairs.where("defect is null and not ended").join(usual_values(pairs), ["value", "question_languages"], "left_anti")
     return whole.join(cut.select("source_id", "form"), ["source_id", "form"]).select("id")
@@ -147,8 +175,8 @@ def usual_values(pairs: DataFrame) -> DataFrame:
 def length_limits(pairs: DataFrame) -> DataFrame:
     """(length): lengths at which far more unended answers stop than at the lengths around, that is, limits of a field."""
     counts = pairs.where("defect is null and not ended and value is null").groupBy("length").agg(F.count("*").alias("n"))
-    near = counts.select(F.col("length").alias("at"), F.col("n").alias("m"))
-    around = counts.join(near, (F.abs(F.col("length") - F.col("at")) <= SPIKE_WIDTH) & (F.col("length") != F.col("at")), "left").groupBy("length", "n").agg((F.coalesce(F.sum("m"), F.lit(0)) / (2 * SPIKE_WIDTH)).alias("usual"))
+    near = counts.select(F.explode(F.sequence(F.col("length") - SPIKE_WIDTH, F.col("length") + SPIKE_WIDTH)).alias("length"), F.col("length").alias("at"), F.col("n").alias("m")).where("at != length")
+    around = counts.join(near, "length", "left").groupBy("length", "n").agg((F.coalesce(F.sum("m"), F.lit(0)) / (2 * SPIKE_WIDTH)).alias("usual"))
     return around.where((F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE * F.col("usual"))).select("length")
 
 
