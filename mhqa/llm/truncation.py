@@ -40,7 +40,9 @@ EVIDENCE, SMOOTHING = 4, 0.5
 #: Answers without the end of a sentence and with so many masked characters at most are values (names, dates, words), which no sentence's context describes.
 PLAIN, PLAIN_SHARE = 24, 0.25
 #: Thresholds: of log-odds for a text without and with the end of a sentence; the share of ended texts that may fall under the latter; the least frequency of a known last word.
-LOG_ODDS, LOG_ODDS_ENDED, QUANTILE, FREQUENT, FREQUENT_LEAST = -1.0, -4.0, 0.002, 1e-5, 3
+LOG_ODDS_ENDED, QUANTILE, FREQUENT, FREQUENT_LEAST = -4.0, 0.002, 1e-5, 3
+#: The limit of texts that don't end as a sentence: the odds that this share of the ended texts of the language and column don't reach, within these bounds.
+OPEN_QUANTILE, OPEN_BOUNDS = 0.01, (-1.5, -0.75)
 
 
 def body(text: str) -> tuple[str, bool, bool]:
@@ -210,7 +212,7 @@ def truncated_units(instances: DataFrame, known: dict[str, str]) -> tuple[DataFr
     """(all units, the cut ones): rows of ``unit_features``, the cut ones distinct.
 
     A text is cut if a cut mark stands at its end, if it doesn't end as a sentence does and an opened quotation stays open, its final context
-    goes on more often than it ends (log-odds under LOG_ODDS, a constant), or its last word is only the beginning of
+    goes on more often than it ends (log-odds under a limit learned for its language and column), or its last word is only the beginning of
     a word; or if it ends as a sentence does but its context hardly ever ends a text.
     """
     units = materialise(unit_features(instances, known))
@@ -219,8 +221,11 @@ def truncated_units(instances: DataFrame, known: dict[str, str]) -> tuple[DataFr
     evidence = final_contexts(forms.where("not plain")).join(model, "context").where(F.col("goes_on") + F.col("ends") >= EVIDENCE)
     odds = F.log((F.col("ends") + SMOOTHING) / (F.col("goes_on") + SMOOTHING))
     longest = evidence.groupBy("column", "language", "masked").agg(F.min_by(odds, "order").alias("odds"), F.first("n_ended").alias("n_ended"))
-    limits = longest.where("n_ended > 0").groupBy("column", "language").agg(F.expr(f"percentile(round(odds, 2), {QUANTILE}, n_ended)").alias("ended_limit"))
-    low = longest.join(F.broadcast(limits), ["column", "language"], "left").where(F.col("odds") < LOG_ODDS)  # one row for each language and column
+    limits = longest.where("n_ended > 0").groupBy("column", "language").agg(
+        F.expr(f"percentile(round(odds, 2), {QUANTILE}, n_ended)").alias("ended_limit"), F.expr(f"percentile(round(odds, 2), {OPEN_QUANTILE}, n_ended)").alias("open_limit")
+    )
+    open_limit = F.greatest(F.lit(OPEN_BOUNDS[0]), F.least(F.lit(OPEN_BOUNDS[1]), F.coalesce("open_limit", F.lit(OPEN_BOUNDS[0]))))
+    low = longest.join(F.broadcast(limits), ["column", "language"], "left").where(F.col("odds") < open_limit)  # one row for each language and column
     low = low.select("column", "language", "masked", F.lit(True).alias("low"), (F.col("odds") <= F.least(F.coalesce("ended_limit", F.lit(LOG_ODDS_ENDED)), F.lit(LOG_ODDS_ENDED))).alias("very_low"))
 
     total = units.count()
