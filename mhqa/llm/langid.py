@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -54,6 +54,8 @@ _PIECE_END = re.compile(r"(?<=[.!?…؟۔])\s+|(?<=[。！？।॥])\s*|[\n\r]+
 _LETTER = {s: re.compile(f"[{r}]") for s, r in _SCRIPT_RANGES.items()}
 
 MIN_WORDS, MIN_CHARS, MARGIN = 2, 8, 0.06
+#: A text of a script with one language of the inventory is in it if this share of its letters are letters that make up at least the other share of that language's texts.
+KNOWN_LETTERS, LETTER_SHARE = 0.95, 0.0005
 FIT_ROWS, FIT_TEXTS, DICTIONARY_BYTES, LEVEL, CONTRADICTION, MINOR = 20_000, 1_000, 32_768, 9, 0.25, 0.1
 
 
@@ -79,6 +81,12 @@ def scripts_of(masked: str) -> dict[str, int]:
     return {s: n for s, p in _LETTER.items() if (n := len(p.findall(masked)))}
 
 
+def _letters(text: str, script: str) -> frozenset[str]:
+    """The letters of a script that make up LETTER_SHARE of a language's texts, at least."""
+    counts = Counter(c for c in text if _LETTER[script].match(c))
+    return frozenset(c for c, n in counts.items() if n >= LETTER_SHARE * counts.total())
+
+
 class Classifier:
     """Compression classifier over raw-content dictionaries, ``{language: text}``."""
 
@@ -93,6 +101,8 @@ class Classifier:
         for language in self.by:
             for script in SCRIPTS.get(language, ("latin",)):
                 self.of_script[script].append(language)
+        # Of scripts with one language of the inventory, the letters that its texts have: others of the script's languages use letters that it lacks.
+        self.letters = {script: _letters(corpora[able[0]].decode("utf-8", "ignore"), script) for script, able in self.of_script.items() if len(able) == 1}
         self.masked = lru_cache(maxsize=200_000)(self._masked)
         self.text = lru_cache(maxsize=20_000)(self._text)
 
@@ -107,7 +117,10 @@ class Classifier:
         if len(able) == 0:
             return None, 0.0
         if len(able) == 1:
-            return (able[0], 1.0) if sum(scripts.values()) >= (4 if ideographic else MIN_CHARS) else (None, 0.5)
+            if sum(scripts.values()) < (4 if ideographic else MIN_CHARS):
+                return None, 0.5
+            known = sum(c in self.letters[main] for c in masked if _LETTER[main].match(c)) / scripts[main]
+            return (able[0] if ideographic or known >= KNOWN_LETTERS else None), round(known, 4)
         raw = masked.encode()
         if not ideographic and (len(masked.split()) < MIN_WORDS or len(masked) < MIN_CHARS) or ideographic and len(masked) < 4:
             return None, 0.0
@@ -142,7 +155,7 @@ def label_code(label: str | None, known: dict[str, str]) -> str | None:
 
 def inventory(languages: DataFrame) -> dict[str, str]:
     """Notations from the languages table, which has one row for each language of the inventory (24)."""
-    return notations((r.code, r.name) for r in languages.select("code", "name").where("code is not null and name is not null").limit(1000).collect())
+    return notations((r.code, r.name) for r in languages.select("code", "name").where("code is not null and name is not null").distinct().collect())
 
 
 _MASKED = "label string, masked string, n long"
