@@ -41,7 +41,7 @@ IDENTITY, FIRST_LINK, LINK, FLOOR, MERGE, GAIN = 1.6, 0.5, 0.68, 0.33, 0.7, 0.12
 BROADCAST_ROWS, BLOCK_ROWS = 400_000, 20_000
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def sound(name: str) -> str:
     """A plain spelling of a name, the same for its Latin and its Cyrillic form where they correspond."""
     out = "".join(CYRILLIC.get(c, c) for c in name.casefold())
@@ -51,7 +51,7 @@ def sound(name: str) -> str:
     return re.sub(r"(.)\1+", r"\1", out)
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=1_000)  # sentences come again within their draft, hardly elsewhere
 def parts(sentence: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
     """(words in lower case, names and figures in plain spelling, the words that these are written as) of a sentence. Runs of ideographs become pairs of characters."""
     words, names, written = [], [], []
