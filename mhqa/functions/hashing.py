@@ -12,10 +12,6 @@ from pyspark.sql import types as T
 from mhqa.schemas import CODES
 
 
-#: Fixed value: the prefix of the hashed text that selects a public view.
-PUBLIC_VIEW = "xhotpotqa-public-v1|"
-
-
 def unsigned_mod(text: Column, modulus: int) -> Column:
     """The first eight bytes of the SHA-256 of ``text``, as an unsigned number, modulo ``modulus``."""
     return (F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)") % modulus).cast("int")
@@ -26,9 +22,9 @@ def assign_language(source_id: Column, unit_id: Column, seed: int) -> Column:
     return F.element_at(F.array(*map(F.lit, CODES)), unsigned_mod(F.concat_ws("\x1f", F.lit(str(seed)), source_id, unit_id), len(CODES)) + 1)
 
 
-def train_view(source_id: Column) -> Column:
-    """The one of 24 views of a training source that the public release shows."""
-    return unsigned_mod(F.concat(F.lit(PUBLIC_VIEW), source_id), len(CODES))
+def train_view(source_id: Column, prefix: str) -> Column:
+    """The one of 24 views of a training source that a public release shows; ``prefix`` names the release in the hashed text."""
+    return unsigned_mod(F.concat(F.lit(prefix), source_id), len(CODES))
 
 
 def sample_rank(seed: int, stratum: Column, identity: Column) -> Column:
@@ -58,7 +54,7 @@ def _semantic(texts: pa.Array) -> pa.Array:
             out.append(None)
             continue
         record = json.loads(t)
-        record.pop("checksum", None)
+        record["checksum"] = ""
         provenance = record.get("provenance") or {}
         for volatile, empty in (("created_at", ""), ("retry_count", 0), ("validation_status", "")):
             if volatile in provenance:
@@ -72,7 +68,7 @@ def _semantic(texts: pa.Array) -> pa.Array:
 
 
 def checksum(record: Column) -> Column:
-    """SHA-256 of a record's canonical JSON without its checksum and what changes when it is merely made again."""
+    """SHA-256 of a record's canonical JSON with its checksum and what changes when it is merely made again emptied."""
     return F.sha2(_semantic(F.to_json(record, {"ignoreNullFields": "false"})), 256)
 
 

@@ -24,8 +24,9 @@ def is_blank(text: Column) -> Column:
 def normalize_legacy(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no English articles, single spaces; null as empty."""
     bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[!-/:-@\[-`{-~]", "")
-    words = F.filter(F.split(F.regexp_replace(bare, r"(?U)[\s\x1C-\x1F]+", " "), " "), lambda w: ~w.isin("", "a", "an", "the"))
-    return F.array_join(words, " ")
+    # Articles end at any sign that is neither letter, digit nor underscore, as in "the—end".
+    rest = F.regexp_replace(bare, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " ")
+    return F.array_join(F.filter(F.split(F.regexp_replace(rest, r"(?U)[\s\x1C-\x1F]+", " "), " "), lambda w: w != ""), " ")
 
 
 def legacy_tokens(text: Column) -> Column:
@@ -63,9 +64,14 @@ def unicode_tokens(text: Column, language: Column) -> Column:
 
 
 @F.arrow_udf(T.StringType())
-def normalize_title(titles: pa.Array) -> pa.Array:
-    """Compatibility form, single spaces, case-folded; null stays null."""
-    return pa.array([None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for t in titles.to_pylist()], pa.string())
+def _title(titles: pa.Array, separators: pa.Array) -> pa.Array:
+    form = lambda t: " ".join(unicodedata.normalize("NFKC", t).split()).casefold()
+    return pa.array([None if t is None else s.join(map(form, t.split(s))) if s else form(t) for t, s in zip(titles.to_pylist(), separators.to_pylist())], pa.string())
+
+
+def normalize_title(title: Column, separator: Column | None = None) -> Column:
+    """Compatibility form, single spaces, case-folded; null stays null. With ``separator`` each of the titles between separators."""
+    return _title(title, F.lit("") if separator is None else separator)
 
 
 def redact(message: Column, limit: int = 500) -> Column:

@@ -69,52 +69,6 @@ def paragraph_index(identifier: Column) -> Column:
     return F.nullif(F.regexp_extract(identifier, r"^p(\d{2})$", 1), F.lit("")).cast("int")
 
 
-# -- fixed values: the names of the flags below (prefixes xhotpot:, source:, provenance:) are those of released data -------------
-def source_flags(instances: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, structural, quality): sorted flags of what a record has against its source. Records without source get the flag source:missing."""
-    s = sources.select("source_id", C("question").alias("sq"), C("answer").alias("sa"), C("question_type").alias("st"), C("difficulty").alias("sd"), "context", C("supporting_facts").alias("sf"), F.lit(True).alias("known"))
-    df = instances.select("id", "source_id", "question", "answer", "question_language", "answer_language", "candidates", "supporting_facts", "question_type", "difficulty", C("provenance.assignment_manifest_sha256").alias("manifest")).join(s, "source_id", "left")
-    candidates, context = F.coalesce(C("candidates"), F.array()), F.coalesce(C("context"), F.array())
-    flag = lambda condition, name: F.when(F.coalesce(condition, F.lit(False)), name)
-    known = lambda x: F.coalesce(x.isin(*CODES), F.lit(False))
-
-    def of_candidate(c: Column, i: Column) -> Column:
-        expected = F.get(context, paragraph_index(c["id"]))
-        sentences, own = F.coalesce(c["sentences"], F.array()), F.coalesce(c["source_sentences"], F.array())
-        original = F.coalesce(expected["sentences"], F.array())
-        return F.array(
-            flag(expected.isNull(), "xhotpot:invalid_paragraph_id"), flag(~F.coalesce(paragraph_index(c["id"]) == i, F.lit(False)), "xhotpot:candidate_order_mismatch"),
-            flag(~c["source_title"].eqNullSafe(expected["title"]), "xhotpot:source_title_mismatch"), flag(own != original, "xhotpot:source_sentences_mismatch"),
-            flag(F.exists(original, is_blank), "source:blank_source_sentence"), flag(F.size(sentences) != F.size(original), "xhotpot:sentence_count_mismatch"), flag(F.exists(sentences, is_blank), "xhotpot:blank_translation_sentence"),
-            flag(~known(c["language"]), "xhotpot:unknown_candidate_language"), flag(is_blank(c["title"]), "xhotpot:blank_translated_title"),
-            flag((c["language"] != "en") & F.exists(F.arrays_zip(sentences.alias("t"), original.alias("s")), lambda z: ~is_blank(z["s"]) & (z["t"] == z["s"])), "q:xhotpot:paragraph_sentence_source_copy"),
-        )
-
-    titles = F.transform(context, lambda p: p["title"])
-    facts = F.coalesce(C("supporting_facts"), F.array())
-    unique = F.filter(F.coalesce(C("sf"), F.array()), lambda f: F.size(F.filter(titles, lambda t: t == f["title"])) == 1)
-    expected_support = F.transform(unique, lambda f: F.struct(F.format_string("p%02d", (F.array_position(titles, f["title"]) - 1).cast("int")).alias("p"), f["sentence_id"].alias("s")))
-    own_support = F.transform(facts, lambda f: F.struct(f["paragraph_id"].alias("p"), f["sentence_id"].alias("s")))
-    bounds = lambda f: F.size(F.get(context, paragraph_index(f["paragraph_id"]))["sentences"])
-    own = F.array(
-        flag(is_blank(C("question")), "xhotpot:blank_question"), flag(is_blank(C("answer")), "xhotpot:blank_answer"), flag(~known(C("question_language")), "xhotpot:unknown_question_language"),
-        flag(~known(C("answer_language")), "xhotpot:unknown_answer_language"), flag(~C("question_language").eqNullSafe(C("answer_language")), "xhotpot:question_answer_language_mismatch"),
-        flag(F.size(candidates) != F.size(context), "xhotpot:candidate_count_mismatch"), flag(F.size(unique) != F.size(F.coalesce(C("sf"), F.array())), "source:supporting_title_not_unique"),
-        flag(F.exists(facts, lambda f: bounds(f).isNull()), "xhotpot:invalid_support_paragraph_id"), flag(F.exists(facts, lambda f: bounds(f).isNotNull() & ~F.coalesce((f["sentence_id"] >= 0) & (f["sentence_id"] < bounds(f)), F.lit(False))), "source:support_index_out_of_range"),
-        flag(own_support != expected_support, "xhotpot:support_annotation_mismatch"), flag(~C("question_type").eqNullSafe(C("st")), "xhotpot:question_type_mismatch"), flag(~C("difficulty").eqNullSafe(C("sd")), "xhotpot:difficulty_mismatch"),
-        flag((C("question_language") != "en") & (C("question") == C("sq")), "q:xhotpot:question_source_copy"), flag((C("answer_language") != "en") & (C("answer") == C("sa")), "q:xhotpot:answer_source_copy"),
-        flag(F.coalesce(C("manifest"), F.lit("")) == "", "q:provenance:assignment_manifest_hash_missing"),
-    )
-    found = F.array_sort(F.array_distinct(F.array_compact(F.concat(own, F.flatten(F.transform(candidates, of_candidate))))))
-    flags = F.when(C("known").isNull(), F.array(F.lit("source:missing"))).otherwise(found)
-    return df.select("id", flags.alias("f")).select("id", F.filter("f", lambda x: ~x.startswith("q:")).alias("structural"), F.transform(F.filter("f", lambda x: x.startswith("q:")), lambda x: F.substring(x, 3, 100)).alias("quality"))
-
-
-def flag_counts(flagged: DataFrame) -> DataFrame:
-    """(flag, records) over structural and quality flags."""
-    return flagged.select(F.explode(F.concat("structural", "quality")).alias("flag")).groupBy("flag").agg(F.count("*").alias("records"))
-
-
 NAMES = {name: code for code, name, _ in LANGUAGES}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mhqa.functions.hashing import is_sha256
+from mhqa.functions.hashing import checksum, is_sha256
 from mhqa.functions.text import is_blank
 from mhqa.schemas import CODES, DIFFICULTIES, QUESTION_TYPES, ROLES, SPLITS
 
@@ -70,13 +70,23 @@ def validated(instances: DataFrame) -> DataFrame:
     return instances.withColumn("error", structural_error()).withColumn("strict", F.when(C("error").isNull(), strict_errors()).otherwise(F.array().cast("array<string>")))
 
 
+RECORD = ("id", "source_id", "source_split", "question", "answer", "question_language", "answer_language", "candidates", "supporting_facts", "question_type", "difficulty", "provenance", "checksum")
+
+
+def checksums(instances: DataFrame) -> DataFrame:
+    """(id, checksum, computed, valid): the stored checksum of each row beside that of its content. A blank one isn't valid."""
+    rows = instances.select("id", "checksum", checksum(F.struct(*RECORD)).alias("computed"))
+    return rows.withColumn("valid", (F.coalesce(C("checksum"), F.lit("")) != "") & C("checksum").eqNullSafe(C("computed")))
+
+
 def validation_report(instances: DataFrame) -> DataFrame:
-    """(split, records, invalid, strict_errors, duplicates): duplicates count repeated ids among structurally valid records."""
-    checked = validated(instances.select("id", "source_id", "source_split", "question", "answer", "question_language", "answer_language", "candidates", "supporting_facts", "question_type", "difficulty", "provenance"))
-    by_id = checked.groupBy("source_split", "id").agg(F.count("*").alias("n"), F.count_if(C("error").isNotNull()).alias("invalid"), F.sum(F.size("strict")).alias("strict"))
+    """(split, records, invalid, strict_errors, duplicates, invalid_checksums): duplicates count repeated ids among structurally valid records, and checksums are those of valid records."""
+    checked = validated(instances.select(*RECORD)).withColumn("bad", C("error").isNull() & ~((F.coalesce(C("checksum"), F.lit("")) != "") & C("checksum").eqNullSafe(checksum(F.struct(*RECORD)))))
+    by_id = checked.groupBy("source_split", "id").agg(F.count("*").alias("n"), F.count_if(C("error").isNotNull()).alias("invalid"), F.sum(F.size("strict")).alias("strict"), F.count_if("bad").alias("bad"))
     return by_id.groupBy(C("source_split").alias("split")).agg(
-        F.sum("n").alias("records"), F.sum("invalid").alias("invalid"), F.sum("strict").cast("long").alias("strict_errors"), F.sum(F.greatest(F.lit(0), C("n") - C("invalid") - 1)).cast("long").alias("duplicates")
-    )
+        F.sum("n").alias("records"), F.sum("invalid").alias("invalid"), F.sum("strict").cast("long").alias("strict_errors"), F.sum(F.greatest(F.lit(0), C("n") - C("invalid") - 1)).cast("long").alias("duplicates"),
+        F.sum("bad").alias("invalid_checksums"),
+    )
 
 
 def error_counts(instances: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mhqa.functions import hashing as H
 from mhqa.functions import scoring as S
 from mhqa.functions import text as X
-from mhqa.operators import evaluation, judging, keys, records, validation
+from mhqa.operators import evaluation, judging, keys, records, releases, validation
 from mhqa.runtime import table
 from mhqa.schemas import CODES, DIFFICULTIES, LANGUAGES, QUESTION_TYPES, ROLES, SPLITS
 
@@ -37,15 +37,19 @@ _CODES = f"[{_list(CODES)}]"
 _SCRIPTS = "MAP {" + ", ".join(f"'{c}': '{s}'" for c, _, s in LANGUAGES) + "}"
 
 
+_BLANK = r"(coalesce({0}, '') = '' OR regexp_full_match({0}, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]*'))"
+_blank = _BLANK.format
+
+
 # -- assignment, hashes, keys --------------------------------------------------------------------------------------------
 @query(f"SELECT source_id, {_CODES}[CAST(('0x' || substr(sha256('42' || chr(31) || source_id || chr(31) || 'question-answer'), 1, 16))::UBIGINT % 24 AS INTEGER) + 1] AS language FROM hotpot_sources")
 def assign_language(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hotpot_sources").select("source_id", H.assign_language(C("source_id"), F.lit("question-answer"), 42).alias("language"))
 
 
-@query("SELECT source_id, CAST(('0x' || substr(sha256('xhotpotqa-public-v1|' || source_id), 1, 16))::UBIGINT % 24 AS INTEGER) AS view_index FROM hotpot_sources")
+@query("SELECT source_id, CAST(('0x' || substr(sha256('public-views|' || source_id), 1, 16))::UBIGINT % 24 AS INTEGER) AS view_index FROM hotpot_sources")
 def train_view_select(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "hotpot_sources").select("source_id", H.train_view(C("source_id")).alias("view_index"))
+    return table(spark, d, "hotpot_sources").select("source_id", H.train_view(C("source_id"), "public-views|").alias("view_index"))
 
 
 @query("SELECT source_id, sha256(to_json({'answer': answer, 'difficulty': difficulty, 'question': question, 'question_type': question_type, 'source_id': source_id})) AS checksum FROM hotpot_sources")
@@ -116,11 +120,11 @@ def expand_views(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "SELECT h.source_id, CASE WHEN e.m IS NULL THEN 'absent_without_final_error_record' WHEN contains(lower(e.m), 'empty sentence') THEN 'inherited_source_empty_sentence'"
     " WHEN contains(lower(e.m), 'outside') AND contains(lower(e.m), 'supporting sentence') THEN 'inherited_source_support_index_out_of_range' ELSE 'logged_generation_error' END AS reason"
-    " FROM (SELECT source_id FROM hotpot_sources WHERE source_id NOT IN (SELECT source_id FROM instances WHERE source_id IS NOT NULL AND question_language = answer_language AND question_language IN ('en', 'de'))) h"
+    " FROM (SELECT source_id FROM hotpot_sources WHERE source_id NOT IN (SELECT source_id FROM instances WHERE source_id IS NOT NULL AND source_split = 'validation')) h"
     " LEFT JOIN (SELECT source_id, max(error) AS m FROM judge_results WHERE error IS NOT NULL GROUP BY source_id) e USING (source_id)"
 )
 def missing_manifest(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "instances").where("source_id is not null and question_language = answer_language and question_language in ('en', 'de')")
+    done = table(spark, d, "instances").where("source_id is not null and source_split = 'validation'")
     errors = table(spark, d, "judge_results").where("error is not null").groupBy("source_id").agg(F.max("error").alias("error")).withColumn("message", F.lit(None).cast("string"))
     return records.missing_manifest(table(spark, d, "hotpot_sources"), done, errors)
 
@@ -135,9 +139,126 @@ def title_lookup(spark: SparkSession, d: str) -> DataFrame:
     return titles.select("source_id", "title", "sentence_id", F.when(n == 1, (F.array_position("titles", C("title")) - 1).cast("int")).alias("paragraph_index"), n.alias("matches"))
 
 
-@query()
+# The checksum of a record in SQL: its canonical JSON, keys sorted, with what changes from run to run emptied.
+_PROVENANCE = (
+    "assignment_version': provenance.assignment_version, 'created_at': '', 'decoding': CAST('{' || array_to_string(list_transform(list_sort(json_keys(coalesce(nullif(provenance.decoding, ''), '{}'))), lambda k: chr(34) || k || chr(34) || ':' || CAST(json_extract(provenance.decoding, '/' || k) AS VARCHAR)), ',') || '}' AS JSON), 'prompt_hash': provenance.prompt_hash, 'prompt_version': provenance.prompt_version,"
+    " 'retry_count': 0, 'schema_version': provenance.schema_version, 'seed': provenance.seed, 'source_dataset': provenance.source_dataset, 'source_license': provenance.source_license, 'translation_model': provenance.translation_model,"
+    " 'translation_revision': provenance.translation_revision, 'validation_status': ''"
+)
+_CHECKSUM = f"""sha256(CAST(to_json({{'answer': answer, 'answer_language': answer_language,
+ 'candidates': list_transform(candidates, lambda c: {{'id': c.id, 'language': c.language, 'sentences': c.sentences, 'source_sentences': c.source_sentences, 'source_title': c.source_title, 'title': c.title}}), 'checksum': '', 'difficulty': difficulty,
+ 'id': id, 'provenance': CASE WHEN coalesce(provenance.assignment_manifest_sha256, '') = '' THEN to_json({{'{_PROVENANCE}}}) ELSE to_json({{'assignment_manifest_sha256': provenance.assignment_manifest_sha256, '{_PROVENANCE}}}) END,
+ 'question': question, 'question_language': question_language, 'question_type': question_type, 'source_id': source_id, 'source_split': source_split,
+ 'supporting_facts': list_transform(supporting_facts, lambda f: {{'paragraph_id': f.paragraph_id, 'role': f.role, 'sentence_id': f.sentence_id}})}}) AS VARCHAR))"""
+
+
+@query(f"SELECT id, checksum, computed, coalesce(checksum, '') <> '' AND checksum = computed AS valid FROM (SELECT id, checksum, {_CHECKSUM} AS computed FROM instances)")
+def invalid_checksums(spark: SparkSession, d: str) -> DataFrame:
+    return validation.checksums(table(spark, d, "instances"))
+
+
+def _flag_if(condition: str, name: str) -> str:
+    return f"CASE WHEN {condition} THEN '{name}' END"
+
+
+_SQL_INDEX = "TRY_CAST(nullif(regexp_extract({0}, '^p(\\d{{2}})$', 1), '') AS INTEGER)".format
+_SQL_AT = "list_extract(coalesce(h.context, []), {0} + 1)".format  # null beyond the list
+_ORIGINAL = f"coalesce({_SQL_AT(_SQL_INDEX('c.id'))}.sentences, [])"
+_OF_CANDIDATE = f"""CASE WHEN c IS NULL THEN ['set:malformed_candidate'] ELSE [{_flag_if(f"{_SQL_AT(_SQL_INDEX('c.id'))} IS NULL", 'set:invalid_paragraph_id')},
+ {_flag_if(f"{_SQL_INDEX('c.id')} IS DISTINCT FROM k - 1", 'set:candidate_order_mismatch')}, {_flag_if(f"coalesce(c.source_title, '') <> coalesce({_SQL_AT(_SQL_INDEX('c.id'))}.title, '')", 'set:source_title_mismatch')},
+ {_flag_if(f"coalesce(c.source_sentences, []) <> {_ORIGINAL}", 'set:source_sentences_mismatch')}, {_flag_if(f"len(list_filter({_ORIGINAL}, lambda x: {_blank('x')})) > 0", 'source:blank_source_sentence')},
+ {_flag_if('c.sentences IS NULL', 'set:translation_sentences_not_list')}, {_flag_if(f"len(coalesce(c.sentences, [])) <> len({_ORIGINAL})", 'set:sentence_count_mismatch')},
+ {_flag_if(f"len(list_filter(coalesce(c.sentences, []), lambda x: {_blank('x')})) > 0", 'set:blank_translation_sentence')}, {_flag_if(f"NOT coalesce(c.language IN ({_list(CODES)}), false)", 'set:unknown_candidate_language')},
+ {_flag_if(_blank('c.title'), 'set:blank_translated_title')},
+ {_flag_if(f"c.language <> 'en' AND len(list_filter(list_zip(coalesce(c.sentences, []), {_ORIGINAL}), lambda z: NOT {_blank('z[2]')} AND z[1] = z[2])) > 0", 'quality|set:paragraph_sentence_source_copy')}] END"""
+_H_TITLES = "list_transform(coalesce(h.context, []), lambda p: p.title)"
+_H_UNIQUE = f"list_filter(coalesce(h.supporting_facts, []), lambda f: len(list_filter({_H_TITLES}, lambda t: t = f.title)) = 1)"
+_I_FACTS = "list_filter(coalesce(i.supporting_facts, []), lambda f: f IS NOT NULL)"
+_I_LENGTH = f"len({_SQL_AT(_SQL_INDEX('f.paragraph_id'))}.sentences)"
+_OWN_FLAGS = f"""[{_flag_if("NOT (coalesce(i.checksum, '') <> '' AND i.checksum = i.computed)", 'set:input_checksum_mismatch')}, {_flag_if(_blank('i.question'), 'set:blank_question')}, {_flag_if(_blank('i.answer'), 'set:blank_answer')},
+ {_flag_if(f"NOT coalesce(i.question_language IN ({_list(CODES)}), false)", 'set:unknown_question_language')}, {_flag_if(f"NOT coalesce(i.answer_language IN ({_list(CODES)}), false)", 'set:unknown_answer_language')},
+ {_flag_if("coalesce(i.question_language, '') <> coalesce(i.answer_language, '')", 'set:question_answer_language_mismatch')}, {_flag_if('i.candidates IS NULL', 'set:candidates_not_list')},
+ {_flag_if('len(coalesce(i.candidates, [])) <> len(coalesce(h.context, []))', 'set:candidate_count_mismatch')}, {_flag_if(f'len({_H_UNIQUE}) <> len(coalesce(h.supporting_facts, []))', 'source:supporting_title_not_unique')},
+ {_flag_if('i.supporting_facts IS NULL', 'set:supporting_facts_not_list')}, {_flag_if(f'len({_I_FACTS}) <> len(coalesce(i.supporting_facts, []))', 'set:malformed_supporting_fact')},
+ {_flag_if(f'len(list_filter({_I_FACTS}, lambda f: f.sentence_id IS NULL)) > 0', 'set:invalid_support_sentence_id')}, {_flag_if(f'len(list_filter({_I_FACTS}, lambda f: {_I_LENGTH} IS NULL)) > 0', 'set:invalid_support_paragraph_id')},
+ {_flag_if(f'len(list_filter({_I_FACTS}, lambda f: {_I_LENGTH} IS NOT NULL AND NOT coalesce(f.sentence_id, -1) BETWEEN 0 AND {_I_LENGTH} - 1)) > 0', 'source:support_index_out_of_range')},
+ {_flag_if(f"list_transform({_I_FACTS}, lambda f: coalesce(f.paragraph_id, '') || ' ' || coalesce(f.sentence_id, -1)) <> list_transform({_H_UNIQUE}, lambda f: printf('p%02d', list_position({_H_TITLES}, f.title) - 1) || ' ' || f.sentence_id)", 'set:support_annotation_mismatch')},
+ {_flag_if("coalesce(i.question_type, 'unknown') <> coalesce(h.question_type, 'unknown')", 'set:question_type_mismatch')}, {_flag_if("coalesce(i.difficulty, 'unknown') <> coalesce(h.difficulty, 'unknown')", 'set:difficulty_mismatch')},
+ {_flag_if('i.provenance IS NULL', 'set:missing_provenance')}, {_flag_if("coalesce(i.question_language, '') <> 'en' AND i.question = h.question", 'quality|set:question_source_copy')},
+ {_flag_if("coalesce(i.answer_language, '') <> 'en' AND i.answer = h.answer", 'quality|set:answer_source_copy')}, {_flag_if("coalesce(i.provenance.assignment_manifest_sha256, '') = ''", 'quality|provenance:assignment_manifest_hash_missing')}]"""
+_FLAGGED = f"""ins AS MATERIALIZED (SELECT row_number() OVER () AS r, *, {_CHECKSUM} AS computed FROM instances),
+exploded AS (SELECT r, source_id, unnest(candidates) AS c, unnest(range(1, len(candidates) + 1)) AS k FROM ins),
+of_candidates AS (SELECT r, flatten(list(fl)) AS fl FROM (SELECT e.r, {_OF_CANDIDATE} AS fl FROM exploded e LEFT JOIN hotpot_sources h USING (source_id)) GROUP BY r),
+every AS (SELECT i.id, CASE WHEN h.source_id IS NULL THEN ['source:missing'] ELSE list_sort(list_distinct(list_filter(list_concat({_OWN_FLAGS}, coalesce(o.fl, [])), lambda x: x IS NOT NULL))) END AS fl
+ FROM ins i LEFT JOIN hotpot_sources h USING (source_id) LEFT JOIN of_candidates o USING (r)),
+flagged AS (SELECT id, list_filter(fl, lambda x: NOT starts_with(x, 'quality|')) AS structural, list_transform(list_filter(fl, lambda x: starts_with(x, 'quality|')), lambda x: substr(x, 9)) AS quality FROM every)"""
+
+
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    return releases.generated_flags(releases.with_source(table(spark, d, "instances"), table(spark, d, "hotpot_sources")), "set:")
+
+
+@query(f"WITH {_FLAGGED} SELECT flag, CAST(count(*) AS BIGINT) AS records FROM (SELECT unnest(list_concat(structural, quality)) AS flag FROM flagged) GROUP BY flag")
 def source_flag_counts(spark: SparkSession, d: str) -> DataFrame:
-    return records.flag_counts(records.source_flags(table(spark, d, "instances"), table(spark, d, "hotpot_sources")))
+    return releases.flag_counts(_flagged(spark, d))
+
+
+@query(
+    f"WITH {_FLAGGED} SELECT id, CASE WHEN len(structural) > 0 THEN 'quarantined' WHEN len(quality) > 0 THEN 'review_required' ELSE 'accepted' END AS status, array_to_string(structural, ' ') AS structural_flags,"
+    " array_to_string(quality, ' ') AS quality_flags FROM flagged"
+)
+def generated_status(spark: SparkSession, d: str) -> DataFrame:
+    f = _flagged(spark, d)
+    return f.select("id", releases.status_of(C("structural_flags"), C("quality_flags")).alias("status"), F.array_join("structural_flags", " ").alias("structural_flags"), F.array_join("quality_flags", " ").alias("quality_flags"))
+
+
+@query()
+def generated_release(spark: SparkSession, d: str) -> DataFrame:
+    return releases.generated_release(releases.with_source(table(spark, d, "instances").where("source_id is not null"), table(spark, d, "hotpot_sources")).where("s is not null"), "set:")
+
+
+def _historical(spark: SparkSession, d: str) -> DataFrame:
+    """Instances as the historical rows that they would come from: candidates as cells, languages by name."""
+    names = F.create_map(*[F.lit(x) for code, name, _ in LANGUAGES for x in (code, name)])
+    cells = F.transform("candidates", lambda c: F.when(c["title"].isNotNull() & c["sentences"].isNotNull() & c["language"].isNotNull(), F.struct(c["title"].alias("title"), c["sentences"].alias("sentences"), F.coalesce(F.element_at(names, c["language"]), c["language"]).alias("language"))))
+    context = F.transform("context", lambda p: F.struct(p["title"].alias("title"), p["sentences"].alias("sentences")))
+    source = F.struct(C("question"), "answer", "question_type", "difficulty", context.alias("context"), "supporting_facts")
+    sources = table(spark, d, "hotpot_sources").select("source_id", C("pos").alias("source_position"), source.alias("source"))
+    rows = table(spark, d, "instances").select("id", "source_id", "source_split", "shard", "question", "answer", F.coalesce(F.element_at(names, C("question_language")), C("question_language"), F.lit("Unknown")).alias("language"), cells.alias("cells"))
+    return rows.join(sources, "source_id")
+
+
+_NAME_OF = "MAP {" + ", ".join(f"'{c}': '{n}'" for c, n, _ in LANGUAGES) + "}"
+_NAMES = _list(n for _, n, _ in LANGUAGES)
+_CELL_NAME = f"coalesce({_NAME_OF}[c.language], c.language)"
+_HISTORICAL = f"""rows_ AS MATERIALIZED (SELECT row_number() OVER () AS r, i.id, i.source_id, i.question, i.answer, coalesce({_NAME_OF}[i.question_language], i.question_language, 'Unknown') AS language, i.candidates FROM instances i JOIN hotpot_sources USING (source_id)),
+exploded AS (SELECT r, source_id, unnest(candidates) AS c, unnest(range(1, len(candidates) + 1)) AS k FROM rows_),
+of_cells AS (SELECT r, flatten(list(fl)) AS fl FROM (SELECT e.r, CASE WHEN c IS NULL OR c.title IS NULL OR c.sentences IS NULL OR c.language IS NULL THEN ['invalid_candidate'] ELSE [{_flag_if(f"{_CELL_NAME} NOT IN ({_NAMES})", 'unknown_candidate_language')},
+ {_flag_if(f"len(list_filter(c.sentences, lambda x: {_blank('x')})) > 0", 'blank_sentence')}, {_flag_if("k <= len(h.context) AND (h.context[k].title IS NULL OR h.context[k].sentences IS NULL)", 'invalid_source_candidate')},
+ {_flag_if("k <= len(h.context) AND len(c.sentences) < len(h.context[k].sentences)", 'paragraph_sentence_shortfall')}, {_flag_if("k <= len(h.context) AND len(c.sentences) > len(h.context[k].sentences)", 'paragraph_sentence_surplus')},
+ {_flag_if(f"k <= len(h.context) AND {_CELL_NAME} = 'English' AND (c.title <> h.context[k].title OR c.sentences <> h.context[k].sentences)", 'english_identity_mismatch')}] END AS fl FROM exploded e JOIN hotpot_sources h USING (source_id)) GROUP BY r),
+lengths AS (SELECT r, list(CASE WHEN c.title IS NOT NULL AND c.language IS NOT NULL THEN len(c.sentences) END ORDER BY k) AS n FROM exploded GROUP BY r),
+every AS (SELECT i.id, i.language, list_sort(list_distinct(list_filter(list_concat([{_flag_if(_blank('i.question'), 'blank_question')}, {_flag_if(_blank('i.answer'), 'blank_answer')}, {_flag_if(f"i.language NOT IN ({_NAMES})", 'unknown_question_language')},
+ {_flag_if("i.language = 'English' AND (i.question IS DISTINCT FROM h.question OR i.answer IS DISTINCT FROM h.answer)", 'english_identity_mismatch')}, {_flag_if('h.context IS NULL', 'invalid_source_context')}, {_flag_if('i.candidates IS NULL', 'invalid_context')},
+ {_flag_if('len(coalesce(i.candidates, [])) <> len(coalesce(h.context, []))', 'candidate_count_mismatch')},
+ {_flag_if(f"len(list_filter(h.supporting_facts, lambda f: len(list_filter({_H_TITLES}, lambda t: t = f.title)) = 0)) > 0", 'supporting_title_missing')}, {_flag_if(f"len(list_filter(h.supporting_facts, lambda f: len(list_filter({_H_TITLES}, lambda t: t = f.title)) > 1)) > 0", 'supporting_title_ambiguous')},
+ {_flag_if(f"len(list_filter(h.supporting_facts, lambda f: NOT coalesce(len(list_filter({_H_TITLES}, lambda t: t = f.title)) = 1 AND f.sentence_id < list_extract(n.n, list_position({_H_TITLES}, f.title)), false))) > 0", 'support_index_out_of_range')}],
+ coalesce(o.fl, [])), lambda x: x IS NOT NULL))) AS fl FROM rows_ i JOIN hotpot_sources h USING (source_id) LEFT JOIN of_cells o USING (r) LEFT JOIN lengths n USING (r))"""
+
+
+@query(f"WITH {_HISTORICAL} SELECT id, language, array_to_string(fl, ' ') AS blocking_flags, len(fl) > 0 AS quarantined FROM every")
+def public_flags(spark: SparkSession, d: str) -> DataFrame:
+    blocking = F.array_remove("structural_flags", releases.REVIEW)
+    return releases.public_flags(_historical(spark, d)).select("id", "language", F.array_join(blocking, " ").alias("blocking_flags"), (C("status") == "quarantined").alias("quarantined"))
+
+
+@query()
+def public_release(spark: SparkSession, d: str) -> DataFrame:
+    rows = keys.with_ordinal(_historical(spark, d), "source_position", "id", "shard", into="release_position")
+    raw = F.sha2(H.canonical_json(F.struct("question", "answer", "language", "cells")), 256)
+    rows = rows.withColumns({"view_index": H.train_view(C("source_id"), "public-views|"), "shard_row": C("release_position"), "raw_sha256": raw})
+    constants = dict.fromkeys(("source_dataset", "source_file", "translation_model", "prompt_version", "assignment_version", "release_selection", "build_version"), "test")
+    return releases.public_release(rows, constants)
 
 
 @query(
@@ -150,13 +271,11 @@ def source_copy_flags(spark: SparkSession, d: str) -> DataFrame:
     return i.where("question_language <> 'en'").join(h, "source_id").select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("records"))
 
 
-@query()
+@query("SELECT DISTINCT id FROM (SELECT r, id, lower(nfc_normalize(trim(regexp_replace(c.title, '\\s+', ' ', 'g')))) AS t FROM (SELECT row_number() OVER () AS r, id, unnest(candidates) AS c FROM instances) WHERE c.title IS NOT NULL) GROUP BY id, t HAVING count(*) > 1")
 def duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
     return records.duplicate_titles(table(spark, d, "instances"))
 
 
-_BLANK = r"(coalesce({0}, '') = '' OR regexp_full_match({0}, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]*'))"
-_blank = _BLANK.format
 _STRUCTURAL = f"""
 CASE WHEN coalesce(id, '') = '' OR coalesce(source_id, '') = '' THEN 'id'
  WHEN NOT coalesce(source_split IN ({_list(SPLITS)}), false) THEN 'split'
@@ -192,7 +311,12 @@ def validation_errors(spark: SparkSession, d: str) -> DataFrame:
     return validation.error_counts(table(spark, d, "instances"))
 
 
-@query()
+@query(
+    f"WITH s AS (SELECT *, {_BAD} AS bad FROM instances), e AS (SELECT *, {_STRUCTURAL} AS error, {_CHECKSUM} AS computed FROM s), a AS (SELECT source_split, id, error, CASE WHEN error IS NULL THEN len({_STRICT}) ELSE 0 END AS strict,"
+    " error IS NULL AND NOT (coalesce(checksum, '') <> '' AND checksum = computed) AS wrong FROM e), g AS (SELECT source_split, id, count(*) AS n, count(error) AS invalid, sum(strict) AS strict, count(*) FILTER (wrong) AS wrong FROM a GROUP BY source_split, id)"
+    " SELECT source_split AS split, CAST(sum(n) AS BIGINT) AS records, CAST(sum(invalid) AS BIGINT) AS invalid, CAST(sum(strict) AS BIGINT) AS strict_errors, CAST(sum(greatest(0, n - invalid - 1)) AS BIGINT) AS duplicates,"
+    " CAST(sum(wrong) AS BIGINT) AS invalid_checksums FROM g GROUP BY source_split"
+)
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return validation.validation_report(table(spark, d, "instances"))
 
@@ -203,7 +327,10 @@ def language_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- evaluation ------------------------------------------------------------------------------------------------------------
-_NORM = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[!-/:-@\[-\x{{60}}\{{-~]', '', 'g'), '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
+_SPACE = r"[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+"
+_ARTICLE = r"'(^|[^\pL\pN_])(?:a|an|the)($|[^\pL\pN_])', '\1 \2', 'g'"
+_BARE = r"regexp_replace(lower(coalesce({0}, '')), '[!-/:-@\[-\x{{60}}\{{-~]', '', 'g')"
+_NORM = f"array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({_BARE}, {_ARTICLE}), {_ARTICLE}), '{_SPACE}'), lambda w: w <> ''), ' ')"
 
 
 @query(f"SELECT DISTINCT answer, {_NORM.format('answer')} AS form FROM instances")
@@ -217,14 +344,14 @@ def normalize_unicode(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GOLD = f"SELECT * FROM (SELECT * FROM instances QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC NULLS LAST) = 1) WHERE question_language IN ({_list(CODES)}) AND len(list_filter(candidates, lambda c: NOT coalesce(c.language IN ({_list(CODES)}), false))) = 0"
-_PRED = "SELECT * FROM predictions WHERE id IS NOT NULL AND system = (SELECT min(system) FROM predictions) QUALIFY row_number() OVER (PARTITION BY id ORDER BY predicted_at DESC NULLS LAST, loaded_at DESC NULLS LAST, answer DESC NULLS LAST) = 1"
-_SCORED = f"""gold AS ({_GOLD}), pred AS ({_PRED}),
-forms AS (SELECT g.id, p.id IS NULL AS missing, {_NORM.format('p.answer')} AS pn, {_NORM.format('g.answer')} AS gn, list_distinct(list_transform(coalesce(p.supporting_facts, []), lambda f: f.paragraph_id || chr(31) || f.sentence_id)) AS pf, list_distinct(list_transform(coalesce(g.supporting_facts, []), lambda f: f.paragraph_id || chr(31) || f.sentence_id)) AS gf FROM gold g LEFT JOIN pred p ON p.id = g.id),
+_PRED = "SELECT * FROM predictions WHERE id IS NOT NULL AND system IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, system ORDER BY predicted_at DESC NULLS LAST, loaded_at DESC NULLS LAST, answer DESC NULLS LAST) = 1"
+_SCORED = f"""gold AS ({_GOLD}), pred AS ({_PRED}), systems AS (SELECT DISTINCT system FROM predictions WHERE system IS NOT NULL),
+forms AS (SELECT g.id, y.system, p.id IS NULL AS missing, {_NORM.format('p.answer')} AS pn, {_NORM.format('g.answer')} AS gn, list_distinct(list_transform(coalesce(p.supporting_facts, []), lambda f: f.paragraph_id || chr(31) || f.sentence_id)) AS pf, list_distinct(list_transform(coalesce(g.supporting_facts, []), lambda f: f.paragraph_id || chr(31) || f.sentence_id)) AS gf FROM gold g CROSS JOIN systems y LEFT JOIN pred p ON p.id = g.id AND p.system = y.system),
 toks AS (SELECT *, CASE WHEN pn = '' THEN [] ELSE string_split(pn, ' ') END AS pt, CASE WHEN gn = '' THEN [] ELSE string_split(gn, ' ') END AS gt FROM forms),
 over AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y = x)), len(list_filter(gt, lambda y: y = x))))), 0) AS k, len(pt) AS n, len(gt) AS m, len(list_intersect(pf, gf)) AS sk, len(pf) AS sn, len(gf) AS sm, (pn IN ('yes', 'no', 'noanswer') OR gn IN ('yes', 'no', 'noanswer')) AND pn <> gn AS zero FROM toks),
-parts AS (SELECT id, missing, CASE WHEN zero THEN 0.0 ELSE CAST(pn = gn AS INTEGER) END AS aem, CASE WHEN zero THEN 0.0 WHEN n > 0 THEN k / n WHEN m = 0 THEN 1.0 ELSE 0.0 END AS ap, CASE WHEN zero THEN 0.0 WHEN m > 0 THEN k / m WHEN n = 0 THEN 1.0 ELSE 0.0 END AS ar,
+parts AS (SELECT id, system, missing, CASE WHEN zero THEN 0.0 ELSE CAST(pn = gn AS INTEGER) END AS aem, CASE WHEN zero THEN 0.0 WHEN n > 0 THEN k / n WHEN m = 0 THEN 1.0 ELSE 0.0 END AS ap, CASE WHEN zero THEN 0.0 WHEN m > 0 THEN k / m WHEN n = 0 THEN 1.0 ELSE 0.0 END AS ar,
  CAST(sn = sm AND sk = sn AS INTEGER) AS sem, CASE WHEN sn > 0 THEN sk / sn WHEN sm = 0 THEN 1.0 ELSE 0.0 END AS sp, CASE WHEN sm > 0 THEN sk / sm WHEN sn = 0 THEN 1.0 ELSE 0.0 END AS sr FROM over),
-scores AS (SELECT id, missing, CAST(aem AS DOUBLE) AS aem, CASE WHEN ap + ar > 0 THEN 2 * ap * ar / (ap + ar) ELSE 0.0 END AS af1, CAST(sem AS DOUBLE) AS sem, CASE WHEN sp + sr > 0 THEN 2 * sp * sr / (sp + sr) ELSE 0.0 END AS sf1, CAST(aem * sem AS DOUBLE) AS jem, CASE WHEN ap * sp + ar * sr > 0 THEN 2 * (ap * sp) * (ar * sr) / (ap * sp + ar * sr) ELSE 0.0 END AS jf1 FROM parts)"""
+scores AS (SELECT id, system, missing, CAST(aem AS DOUBLE) AS aem, CASE WHEN ap + ar > 0 THEN 2 * ap * ar / (ap + ar) ELSE 0.0 END AS af1, CAST(sem AS DOUBLE) AS sem, CASE WHEN sp + sr > 0 THEN 2 * sp * sr / (sp + sr) ELSE 0.0 END AS sf1, CAST(aem * sem AS DOUBLE) AS jem, CASE WHEN ap * sp + ar * sr > 0 THEN 2 * (ap * sp) * (ar * sr) / (ap * sp + ar * sr) ELSE 0.0 END AS jf1 FROM parts)"""
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
@@ -232,21 +359,20 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "predictions").where("id is not null")
-    first = rows.agg(F.min("system").alias("system"))
-    return keys.latest(rows.join(F.broadcast(first), "system"), ["id"], F.desc_nulls_last("predicted_at"), F.desc_nulls_last("loaded_at"), F.desc_nulls_last("answer"))
+    rows = table(spark, d, "predictions").where("id is not null and system is not null")
+    return keys.latest(rows, ["id", "system"], F.desc_nulls_last("predicted_at"), F.desc_nulls_last("loaded_at"), F.desc_nulls_last("answer"))
 
 
-@query(f"WITH {_SCORED} SELECT id, missing, aem AS answer_em, round(af1, 6) AS answer_f1, sem AS support_em, round(sf1, 6) AS support_f1, jem AS joint_em, round(jf1, 6) AS joint_f1 FROM scores")
+@query(f"WITH {_SCORED} SELECT id, system, missing, aem AS answer_em, round(af1, 6) AS answer_f1, sem AS support_em, round(sf1, 6) AS support_f1, jem AS joint_em, round(jf1, 6) AS joint_f1 FROM scores")
 def evaluate_examples(spark: SparkSession, d: str) -> DataFrame:
     rows = evaluation.scored(_gold(spark, d), _predictions(spark, d), protocol="legacy_hotpot")
-    return rows.select("id", "missing", *[c for n in ("answer", "support", "joint") for c in (C(n)["em"].alias(f"{n}_em"), F.round(C(n)["f1"], 6).alias(f"{n}_f1"))])
+    return rows.select("id", "system", "missing", *[c for n in ("answer", "support", "joint") for c in (C(n)["em"].alias(f"{n}_em"), F.round(C(n)["f1"], 6).alias(f"{n}_f1"))])
 
 
 @query()
 def evaluate_examples_unicode(spark: SparkSession, d: str) -> DataFrame:
     rows = evaluation.scored(_gold(spark, d), _predictions(spark, d))
-    return rows.select("id", "missing", *[c for n in ("answer", "support", "joint") for c in (C(n)["em"].alias(f"{n}_em"), F.round(C(n)["f1"], 6).alias(f"{n}_f1"))])
+    return rows.select("id", "system", "missing", *[c for n in ("answer", "support", "joint") for c in (C(n)["em"].alias(f"{n}_em"), F.round(C(n)["f1"], 6).alias(f"{n}_f1"))])
 
 
 _STRATA = f"""ids AS (SELECT id, question_language AS q, candidates, list_distinct(list_transform(supporting_facts, lambda f: f.paragraph_id)) AS g FROM ({_GOLD})),
@@ -271,19 +397,20 @@ _BIN = "CASE WHEN {0} IS NULL THEN 'not-applicable' WHEN abs({0}) <= 1e-12 THEN
     f"WITH {_SCORED}, {_STRATA}, x AS (SELECT s.*, t.q, t.cond, t.rel, t.rg, t.rd, t.h, t.nk FROM scores s JOIN strata t USING (id)), e AS (SELECT *, unnest([{{'section': 'overall', 'key': ''}}, {{'section': 'question_language', 'key': q}}, {{'section': 'condition', 'key': cond}},"
     f" {{'section': 'script_relation', 'key': rel}}, {{'section': 'gold_mismatch', 'key': {_BIN.format('rg')}}}, {{'section': 'distractor_mismatch', 'key': {_BIN.format('rd')}}}, {{'section': 'gold_entropy', 'key': CASE WHEN abs(h) <= 1e-12 THEN 'zero' WHEN abs(h - 1) <= 1e-9 THEN 'maximal' ELSE 'intermediate' END}},"
     " {'section': 'candidate_languages', 'key': CASE WHEN nk <= 1 THEN 'one' WHEN nk <= 4 THEN 'two-to-four' WHEN nk <= 8 THEN 'five-to-eight' ELSE 'nine-or-more' END}]) AS b FROM x)"
-    " SELECT b.section AS section, b.key AS key, CAST(count(*) AS BIGINT) AS n, round(avg(aem), 6) AS answer_em, round(avg(af1), 6) AS answer_f1, round(avg(sem), 6) AS support_em, round(avg(sf1), 6) AS support_f1, round(avg(jem), 6) AS joint_em, round(avg(jf1), 6) AS joint_f1 FROM e GROUP BY b.section, b.key"
+    " SELECT system, b.section AS section, b.key AS key, CAST(count(*) AS BIGINT) AS n, round(avg(aem), 6) AS answer_em, round(avg(af1), 6) AS answer_f1, round(avg(sem), 6) AS support_em, round(avg(sf1), 6) AS support_f1, round(avg(jem), 6) AS joint_em, round(avg(jf1), 6) AS joint_f1 FROM e GROUP BY system, b.section, b.key"
 )
 def report_long(spark: SparkSession, d: str) -> DataFrame:
     r = evaluation.report(_gold(spark, d), _predictions(spark, d), protocol="legacy_hotpot")
-    return r.select("section", "key", "n", *[F.round(f"{c}_{m}", 6).alias(f"{c}_{m}") for c in ("answer", "support", "joint") for m in ("em", "f1")])
+    return r.select("system", "section", "key", "n", *[F.round(f"{c}_{m}", 6).alias(f"{c}_{m}") for c in ("answer", "support", "joint") for m in ("em", "f1")])
 
 
 @query(
-    f"WITH {_SCORED}, {_STRATA}, l AS (SELECT t.q, avg(aem) AS aem, avg(af1) AS af1, avg(sem) AS sem, avg(sf1) AS sf1, avg(jem) AS jem, avg(jf1) AS jf1 FROM scores s JOIN strata t USING (id) GROUP BY t.q)"
-    " SELECT 'answer' AS component, round(avg(aem), 6) AS em, round(avg(af1), 6) AS f1 FROM l UNION ALL SELECT 'support', round(avg(sem), 6), round(avg(sf1), 6) FROM l UNION ALL SELECT 'joint', round(avg(jem), 6), round(avg(jf1), 6) FROM l"
+    f"WITH {_SCORED}, {_STRATA}, l AS (SELECT system, t.q, avg(aem) AS aem, avg(af1) AS af1, avg(sem) AS sem, avg(sf1) AS sf1, avg(jem) AS jem, avg(jf1) AS jf1 FROM scores s JOIN strata t USING (id) GROUP BY system, t.q)"
+    " SELECT system, 'answer' AS component, round(avg(aem), 6) AS em, round(avg(af1), 6) AS f1 FROM l GROUP BY system UNION ALL SELECT system, 'support', round(avg(sem), 6), round(avg(sf1), 6) FROM l GROUP BY system"
+    " UNION ALL SELECT system, 'joint', round(avg(jem), 6), round(avg(jf1), 6) FROM l GROUP BY system"
 )
 def macro_report(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.macro(_gold(spark, d), _predictions(spark, d), protocol="legacy_hotpot").select("component", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
+    return evaluation.macro(_gold(spark, d), _predictions(spark, d), protocol="legacy_hotpot").select("system", "component", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
 
 
 @query(
@@ -300,7 +427,16 @@ def unexpected_predictions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").select("id").where("id is not null").distinct().join(table(spark, d, "instances").select("id"), "id", "left_anti")
 
 
-@query()
+_FACT_OF = "len(list_filter({0}, lambda f: {1})) > 0".format
+
+
+@query(
+    "WITH k AS (SELECT id, candidates FROM instances QUALIFY row_number() OVER (PARTITION BY id ORDER BY imported_at DESC NULLS LAST) = 1),"
+    " j AS (SELECT p.id, k.id AS known, coalesce(p.supporting_facts, []) AS fl, k.candidates AS c, CASE WHEN p.id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY p.id, p.system) END AS same FROM predictions p LEFT JOIN k ON k.id = p.id)"
+    f" SELECT code, CAST(count(*) AS BIGINT) AS rows FROM (SELECT unnest([{_flag_if('id IS NULL', 'null_id')}, {_flag_if('same > 1', 'repeated')}, {_flag_if('known IS NULL', 'unexpected')},"
+    f" {_flag_if(_FACT_OF('fl', chr(32).join(['coalesce(f.paragraph_id,', repr(''), ') =', repr(''), 'OR f.sentence_id IS NULL OR f.sentence_id < 0'])), 'malformed_fact')}, {_flag_if('len(list_distinct(list_transform(fl, lambda x: to_json(x)))) < len(fl)', 'repeated_fact')},"
+    f" {_flag_if('known IS NOT NULL AND ' + _FACT_OF('fl', 'len(list_filter(c, lambda x: coalesce(x.id = f.paragraph_id AND f.sentence_id < len(x.sentences), false))) = 0'), 'fact_out_of_bounds')}]) AS code FROM j) WHERE code IS NOT NULL GROUP BY code"
+)
 def prediction_errors(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.prediction_errors(table(spark, d, "predictions"), keys.latest(table(spark, d, "instances").select("id", "candidates", "imported_at"), ["id"], F.desc_nulls_last("imported_at")))
 
@@ -359,9 +495,12 @@ def stable_sample(spark: SparkSession, d: str) -> DataFrame:
     return judging.sample(judging.units(instances, table(spark, d, "hotpot_sources"))).select("language", "unit", "instance_id", "paragraph_id", "rank", "n")
 
 
-@query("SELECT doc_id, greatest(0, least(100, CAST(s AS INTEGER))) AS score FROM (SELECT doc_id, nullif(regexp_extract(text, '(?i:SCORE)\\s*[:\\-]?\\s*(\\d{1,3})', 1), '') AS s FROM documents) WHERE s IS NOT NULL")
+@query(
+    "SELECT doc_id, greatest(0, least(100, CAST(s AS INTEGER))) AS score FROM (SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?i:SCORE)\\s*[:\\-]?\\s*(\\d{1,3})', 1), ''),"
+    " list_extract(regexp_extract_all(regexp_replace(text, '([^\\pL\\pN_])', '\\1\\1', 'g'), '(?:^|[^\\pL\\pN_])([0-9]{1,3})(?:$|[^\\pL\\pN_])', 1), -1)) AS s FROM documents) WHERE s IS NOT NULL"
+)
 def score_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(C("text").rlike(r"(?i)SCORE\s*[:\-]?\s*\d{1,3}")).select("doc_id", S.score_from_text(C("text")).alias("score"))
+    return table(spark, d, "documents").select("doc_id", S.score_from_text(C("text")).alias("score")).where("score is not null")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

@@ -2,69 +2,77 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import os
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
-from mhqa.operators.keys import ContractError, require_empty
+from mhqa.functions.hashing import is_sha256
+from mhqa.functions.text import is_blank
+from mhqa.operators.keys import ContractError, require_empty, with_ordinal
+from mhqa.runtime import materialise
 from mhqa.schemas import CANONICAL, CODES, PREDICTION
+from mhqa.sources.streams import RANGE, JsonEntries, LineRanges, open_binary
 
 C = F.col
 
 
-class _LineReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition):  # noqa: ANN201
-        with open(partition.value, encoding="utf-8") as file:
-            for number, line in enumerate(file, 1):
-                yield partition.value, number, line.rstrip("\r\n")
+def numbered_lines(spark: SparkSession, *paths: str, size: int = RANGE) -> DataFrame:
+    """(path, line, value) of text files, blank lines counted; each ``size`` bytes of a file are a task's. The lines of the ranges before, one row a range, give the offsets."""
+    spark.dataSource.register(LineRanges)
+    lines = spark.read.format("line_ranges").option("paths", "\n".join(paths)).option("bytes", size).load()
+    before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lines.groupBy("path", "range").agg(F.count("*").alias("n")).select("path", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(offsets), ["path", "range"]).select("path", (C("before") + C("number")).alias("line"), "value")
 
 
-class NumberedLines(DataSource):
-    """``numbered_lines``: (path, line, value) of text files on a shared file system, one partition a file, blank lines counted. Option ``paths``: one path a line."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "numbered_lines"
-
-    def schema(self) -> str:
-        return "path string, line long, value string"
+def _parsed(lines: DataFrame, schema: str | None) -> tuple[DataFrame, DataFrame]:
+    """(the lines that aren't blank with ``record``; those among them that aren't one JSON object)."""
+    parsed = lines.where("trim(value) != ''").withColumn("v", F.try_parse_json("value"))
+    record = F.from_json("value", schema, {"mode": "FAILFAST"}) if schema else C("v")
+    return parsed.withColumn("record", record), parsed.where(C("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT"))
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _LineReader([p for p in self.options["paths"].split("\n") if p])
 
+def jsonl(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
+    """(path, line, record) of JSON lines; ``record`` is VARIANT, or a struct with ``schema``. Blank lines are skipped; a line that isn't one JSON object is a ContractError that names it."""
+    good, bad = _parsed(numbered_lines(spark, *paths), schema)
+    require_empty(bad, "not a JSON object", "path", "line")
+    return good.select("path", "line", "record")
 
-def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    spark.dataSource.register(NumberedLines)
-    return spark.read.format("numbered_lines").option("paths", "\n".join(paths)).load()
 
+def json_records(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
+    """(record) of JSON lines, read and split by the built-in text source; lines are counted only to name one that isn't a JSON object."""
+    good, bad = _parsed(spark.read.text(list(paths)), schema)
+    if not bad.isEmpty():
+        jsonl(spark, *paths, schema=schema)
+    return good.select("record")
 
-def jsonl(spark: SparkSession, *paths: str, schema: str | None = None) -> DataFrame:
-    """(path, line, record) of JSON lines; ``record`` is VARIANT, or a struct with ``schema``. Blank lines are skipped; a line that isn't one JSON object is a ContractError that names it."""
-    lines = numbered_lines(spark, *paths).where("trim(value) != ''").withColumn("v", F.try_parse_json("value"))
-    require_empty(lines.where(C("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT")), "not a JSON object", "path", "line")
-    record = F.from_json("value", schema, {"mode": "FAILFAST"}) if schema else C("v")
-    return lines.select("path", "line", record.alias("record"))
 
+def instances(spark: SparkSession, *paths: str, validate: bool = True) -> DataFrame:
+    """Canonical records of JSON lines; the open ``decoding`` map stays JSON text. With ``validate`` a record that breaks a structural rule is a ContractError."""
+    rows = json_records(spark, *paths, schema=CANONICAL).select("record.*")
+    if validate:
+        from mhqa.operators.validation import structural_error
 
-def instances(spark: SparkSession, *paths: str) -> DataFrame:
-    """Canonical records of JSON lines; the open ``decoding`` map stays JSON text."""
-    return jsonl(spark, *paths, schema=CANONICAL).select("record.*")
+        require_empty(rows.withColumn("__e", structural_error()).where("__e is not null"), "invalid records", "id", "__e")
+    return rows
 
 
 def predictions(spark: SparkSession, *paths: str) -> DataFrame:
-    """Predictions of JSON lines. Ids must be strings and unique, facts a list of objects with a paragraph and a whole, non-negative sentence number."""
+    """Predictions of JSON lines. Ids must be strings and unique, facts a list of objects with a paragraph, not empty, and a whole, non-negative sentence number."""
     raw = jsonl(spark, *paths)
     kind = lambda p: F.schema_of_variant(F.try_variant_get("record", p, "variant"))
     facts = F.try_variant_get("record", "$.supporting_facts", "array<variant>")
     bad = lambda f: (
         ~F.coalesce(F.schema_of_variant(F.try_variant_get(f, "$.paragraph_id", "variant")) == "STRING", F.lit(False))
+        | (F.coalesce(F.try_variant_get(f, "$.paragraph_id", "string"), F.lit("")) == "")
         | ~F.coalesce(F.schema_of_variant(F.try_variant_get(f, "$.sentence_id", "variant")) == "BIGINT", F.lit(False))
         | F.coalesce(F.try_variant_get(f, "$.sentence_id", "int") < 0, F.lit(True))
     )
@@ -76,21 +84,32 @@ def predictions(spark: SparkSession, *paths: str) -> DataFrame:
     return rows
 
 
+def json_entries(spark: SparkSession, *paths: str, nested: bool = False) -> DataFrame:
+    """(path, section, key, pos, value) of the entries of JSON objects or arrays, streamed, each value as JSON text. See ``streams.JsonEntries``."""
+    spark.dataSource.register(JsonEntries)
+    return spark.read.format("json_entries").option("paths", "\n".join(paths)).option("nested", str(nested).lower()).load()
+
+
 def source_array(spark: SparkSession, path: str, *, difficulty: str | None = None) -> DataFrame:
-    """HOTPOT_SOURCE records of a JSON array file, with ``pos`` (in the file) and ``selected_pos`` (among those of ``difficulty``)."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    items = whole.lateralJoin(spark.tvf.variant_explode(C("v").outer())).select("pos", C("value").alias("x"))
+    """HOTPOT_SOURCE records of a JSON array file, with ``pos`` (in the file) and ``selected_pos`` (among those of ``difficulty``). The array is streamed, item by item."""
+    items = json_entries(spark, path).select("pos", F.parse_json("value").alias("x"))
     text = lambda p: F.try_variant_get("x", p, "string")
     context = F.transform(F.try_variant_get("x", "$.context", "array<variant>"), lambda p, i: F.struct(F.format_string("p%02d", i).alias("paragraph_id"), F.try_variant_get(p, "$[0]", "string").alias("title"), F.try_variant_get(p, "$[1]", "array<string>").alias("sentences")))
     facts = F.transform(F.try_variant_get("x", "$.supporting_facts", "array<variant>"), lambda f: F.struct(F.try_variant_get(f, "$[0]", "string").alias("title"), F.try_variant_get(f, "$[1]", "int").alias("sentence_id")))
     rows = items.select(
         F.coalesce(text("$._id"), text("$.id")).alias("source_id"), text("$.question").alias("question"), text("$.answer").alias("answer"), F.coalesce(text("$.type"), F.lit("unknown")).alias("question_type"),
-        F.coalesce(text("$.level"), F.lit("unknown")).alias("difficulty"), "pos", context.alias("context"), facts.alias("supporting_facts"),
+        F.coalesce(text("$.level"), F.lit("unknown")).alias("difficulty"), C("pos").cast("int").alias("pos"), context.alias("context"), facts.alias("supporting_facts"),
     )
-    from pyspark.sql.window import Window
-
     kept = rows.where(C("difficulty") == difficulty) if difficulty else rows
-    return kept.withColumn("selected_pos", F.row_number().over(Window.orderBy("pos")) - 1)  # one file is one JSON value, read by one task
+    return with_ordinal(kept, "pos", into="selected_pos").withColumn("selected_pos", C("selected_pos").cast("int"))
+
+
+def typed_sources(spark: SparkSession, *paths: str) -> DataFrame:
+    """The source records of several array files; ids must be there and unique across the files."""
+    rows = reduce(DataFrame.unionByName, [source_array(spark, p) for p in paths])
+    require_empty(rows.where("source_id is null or source_id = ''"), "sources without id", "pos")
+    require_empty(rows.groupBy("source_id").count().where("count > 1"), "sources repeat", "source_id")
+    return rows
 
 
 #: The columns of historical shards.
@@ -98,20 +117,32 @@ SHARD_COLUMNS = {"translate_context": "context", "translate_question": "question
 
 
 def column_shard(spark: SparkSession, path: str, *, ordinal: int = 0) -> DataFrame:
-    """(shard, shard_ord, shard_row, context, question, answer, target_language) of a file that holds four columns as objects keyed by row number.
+    """(shard, shard_ord, shard_row, context, question, answer, target_language) of a file that holds four columns as objects keyed by row number; the cells are VARIANT.
 
-    The four columns are joined by row number; a row that one of them lacks, or a gap, is a ContractError.
+    The file is streamed once, cell by cell, and the cells of a row meet in one aggregation. A row that a column lacks or has twice, a gap, another column or a key that is no
+    number is a ContractError.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    joined = None
-    for column, name in SHARD_COLUMNS.items():
-        cells = whole.select(F.try_variant_get("v", f"$.{column}", "variant").alias("c")).lateralJoin(spark.tvf.variant_explode(C("c").outer())).select(C("key").cast("int").alias("shard_row"), C("value").alias(name))
-        joined = cells if joined is None else joined.join(cells, "shard_row", "full")
-    require_empty(joined.where(" or ".join(f"{n} is null" for n in SHARD_COLUMNS.values())), "columns of unequal rows", "shard_row")
-    n, last = joined.agg(F.count("*"), F.max("shard_row")).first()
+    cells = json_entries(spark, path, nested=True).withColumn("shard_row", F.expr("try_cast(key as int)"))
+    require_empty(cells.where(~C("section").isin(*SHARD_COLUMNS) | C("shard_row").isNull()).select("section", "key"), "other columns, or rows without number", "section", "key")
+    rows = materialise(cells.groupBy("shard_row").agg(F.count("*").alias("n"), F.countDistinct("section").alias("d"), *[F.max(F.when(C("section") == c, C("value"))).alias(n) for c, n in SHARD_COLUMNS.items()]))
+    require_empty(rows.where((C("n") != len(SHARD_COLUMNS)) | (C("d") != len(SHARD_COLUMNS))), "columns of unequal rows", "shard_row")
+    n, last = rows.agg(F.count("*"), F.max("shard_row")).first()
     if n and last != n - 1:
         raise ContractError(f"rows of {path} aren't numbered without gap")
-    return joined.withColumns({"shard": F.lit(path.rsplit("/", 1)[-1]), "shard_ord": F.lit(ordinal)})
+    return rows.select("shard_row", *[F.parse_json(c).alias(c) for c in SHARD_COLUMNS.values()], F.lit(path.rsplit("/", 1)[-1]).alias("shard"), F.lit(ordinal).alias("shard_ord"))
+
+
+def corrections(spark: SparkSession, path: str) -> DataFrame:
+    """(legacy_id, raw_sha256, reason, replacement) of a file of corrections, the replacement as JSON text. Other fields, repeated ids, malformed hashes and blank reasons are ContractErrors."""
+    raw = jsonl(spark, path)
+    fields = ("legacy_id", "raw_sha256", "reason", "replacement")
+    require_empty(raw.where(F.size(F.array_except(F.json_object_keys(F.to_json("record")), F.array(*map(F.lit, fields)))) > 0), "unexpected fields", "path", "line")
+    text = lambda n: F.when(F.schema_of_variant(F.try_variant_get("record", f"$.{n}", "variant")) == "STRING", F.try_variant_get("record", f"$.{n}", "string"))
+    whole = F.try_variant_get("record", "$.replacement", "variant")
+    rows = raw.select("line", *[text(n).alias(n) for n in fields[:3]], F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.to_json(whole)).alias("replacement"))
+    require_empty(rows.where(C("legacy_id").isNull() | (C("legacy_id") == "") | ~is_sha256(C("raw_sha256")) | is_blank(C("reason")) | C("replacement").isNull()), "malformed corrections", "line")
+    require_empty(rows.groupBy("legacy_id").count().where("count > 1"), "corrections repeat", "legacy_id")
+    return rows.drop("line")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -126,9 +157,11 @@ def translations(spark: SparkSession, path: str) -> DataFrame:
     """(source_id, language, question, answer) of a translation map: JSON lines {source_id, translations}, or one JSON object by source."""
     entry = "map<string, struct<question: string, answer: string>>"
     if path.endswith(".jsonl"):
-        rows = jsonl(spark, path).select(F.try_variant_get("record", "$.source_id", "string").alias("source_id"), F.try_variant_get("record", "$.translations", entry).alias("t"))
+        raw = jsonl(spark, path)
+        require_empty(raw.where(F.array_sort(F.json_object_keys(F.to_json("record"))) != F.array(F.lit("source_id"), F.lit("translations"))), "unexpected fields", "path", "line")
+        rows = raw.select(F.try_variant_get("record", "$.source_id", "string").alias("source_id"), F.try_variant_get("record", "$.translations", entry).alias("t"))
     else:
-        rows = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.parse_json("value"), "$", f"map<string, {entry}>")).alias("source_id", "t"))
+        rows = json_entries(spark, path).select(C("key").alias("source_id"), F.try_variant_get(F.parse_json("value"), "$", entry).alias("t"))
     require_empty(rows.groupBy("source_id").count().where("count > 1"), "sources repeat", "source_id")
     found = rows.select("source_id", F.explode("t").alias("language", "x")).select("source_id", "language", "x.question", "x.answer")
     require_empty(found.where(~C("language").isin(*CODES)), "unknown languages", "source_id", "language")
@@ -143,8 +176,38 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_facts(spark: SparkSession, *paths: str) -> DataFrame:
-    """(name, bytes, sha256, modified) of files."""
-    return spark.read.format("binaryFile").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("name"), C("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), C("modificationTime").alias("modified"))
+    """(name, bytes, sha256, modified) of files, or of those in a folder but for hidden ones; read in chunks, one file a task, so that their size doesn't matter."""
+    found = sorted({f for p in paths for f in ([e.path for e in os.scandir(p) if e.is_file() and e.name[0] not in "._"] if os.path.isdir(p) else [p])})
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"].to_pylist():
+                sha, size = hashlib.sha256(), 0
+                with open_binary(path) as stream:
+                    while data := stream.read(8 << 20):
+                        sha.update(data)
+                        size += len(data)
+                rows.append((path.rsplit("/", 1)[-1], size, sha.hexdigest(), os.stat(path).st_mtime_ns // 1000 if os.path.exists(path) else None))
+            names, sizes, hashes, times = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(times, pa.int64())], names=["name", "bytes", "sha256", "modified"])
+
+    rows = spark.createDataFrame([(f,) for f in found], "path string").repartition(max(1, len(found)))
+    return rows.mapInArrow(digest, "name string, bytes long, sha256 string, modified long").withColumn("modified", F.timestamp_micros("modified"))
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, paths: Sequence[str], locks: DataFrame) -> Iterator[None]:
+    """For a run over ``paths``: they must agree with ``locks`` (in this order, where it has ``ord``) before it, and have the same sizes and times of change after it."""
+    if "ord" in locks.columns:
+        expected = [r.name for r in locks.orderBy("ord").select("name").collect()]  # one row an input file
+        if expected != [p.rsplit("/", 1)[-1] for p in paths]:
+            raise ContractError("inputs stand in another order than their locks")
+    require_locks(file_facts(spark, *paths), locks)
+    state = [(os.stat(p).st_size, os.stat(p).st_mtime_ns) for p in paths]
+    yield
+    if state != [(os.stat(p).st_size, os.stat(p).st_mtime_ns) for p in paths]:
+        raise ContractError("an input changed during the run")
 
 
 def require_locks(found: DataFrame, locks: DataFrame) -> None:
