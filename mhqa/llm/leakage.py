@@ -34,6 +34,8 @@ SEED_HITS, FIGURE = 2, 0.3
 SEED_ITEMS = 12
 #: Units of fewer tokens must be covered whole; a single token is no unit.
 SHORT = 4
+#: Parts of a unit that stand in another order have so many tokens at least.
+PART = 6
 #: Each part of so many pairs of a unit has a seed, the rarest of its pairs if there is no other.
 SEED_PART = 8
 #: A token is an item's own if no larger share of the held-out items and of the documents (or, of few, no more of them) has it; or if, of the documents, most
@@ -253,7 +255,7 @@ def leaks(text: list[str], reference: Reference) -> dict[int, tuple[str, float,
                 detail = _judged(kind, target, text[windows[-1][0] : windows[-1][1]], own)
                 if detail:
                     break
-        if not detail and len(windows) > 1 and sum(diagonals.values()) >= need:  # parts in another order
+        if not detail and kind != "passage" and len(windows) > 1 and sum(diagonals.values()) >= need:  # parts in another order; the sentences of a passage are units themselves
             joined: list[str] = []
             end = 0
             for low, high in sorted(windows):
@@ -261,7 +263,12 @@ def leaks(text: list[str], reference: Reference) -> dict[int, tuple[str, float,
                     joined.append("")
                 joined += text[max(low, end) : high]
                 end = max(end, high)
-            detail = _judged(kind, target, joined, own)
+            mark = [False] * len(target)
+            for i, _, n in tile(target, joined, PART):
+                mark[i : i + n] = [True] * n
+            share, own_share = sum(mark) / len(mark), _own_share(mark, own, 0, len(mark))
+            if share >= COVERAGE and own_share >= OWN_COVERAGE:
+                detail = kind, share, own_share
         if detail:
             found.update((item, detail) for item in items if item not in found)
     return found

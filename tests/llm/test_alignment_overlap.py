@@ -102,3 +102,24 @@ def test_candidates_meet_brute_force(spark):
 def test_spellings_meet():
     for a, b in (("zorn", "zron"), ("zorn", "zorns"), ("birthplace", "brithplace"), ("birthplace", "birthplac"), ("proskvall", "proskvxall"), ("abc", "abc")):
         assert O.near(a, b) and set(O.spellings(a)) & set(O.spellings(b))
+
+
+def test_blocks_give_the_same_pairs(spark):
+    df = drafts(spark)
+    assert {tuple(r) for r in A.pairs(df, broadcast_rows=0, block_rows=30).collect()} == {tuple(r) for r in A.pairs(df).collect()}
+
+
+def test_selected_words_meet():
+    shares = {w: 0.5 for w in "which town lies on the river and is birthplace of".split()}
+    a = "Which town lies on the river Lila and is the birthplace of Tom Zornwick and Ann Moss in 1907?"
+    for b in (a.lower(), a.replace("Lila", "Lilla"), a.replace("Zornwick", "Zorn wick"), a.replace("Which town", "Which old town")):
+        words, marks = O.indexed(O.form_of(b), shares)
+        ours = {O.mark_of(f, x, y) for f, x, y, _, _ in O.selected(O.form_of(a), shares)}
+        assert ours & marks, b
+    assert not {O.mark_of(f, x, y) for f, x, y, _, _ in O.selected(O.form_of(a), shares)} & O.indexed(O.form_of(a.replace("1907", "1908")), shares)[1]
+    assert O.selected(O.form_of("which town lies on the river"), shares) is None
+
+
+def test_record_coverage(spark):
+    rows = {(r.id, r.field): r.coverage for r in O.record_coverage(records(spark)).collect()}
+    assert rows["v1", "question"] == 1 and 0.6 < rows["t4", "question"] <= 1 and rows["t9", "question"] == 0 and ("v3", "question") not in rows

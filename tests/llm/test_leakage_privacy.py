@@ -77,3 +77,29 @@ def test_widely_leaked(spark):
 @pytest.mark.parametrize("text", ["At the centre of the scarlet estuary stands a young soldier, and the plot ends in Yurdhaven", "the old mill by the river was closed for many years before it was opened again"])
 def test_few_seeds(text):
     assert L.leaks(L.document_tokens(f"Before it. {text}. After it."), L.Reference([(1, None, text + ".")])).keys() == {1}
+
+
+def test_shared_short_and_reordered_units():
+    question = "Which town on the river Lila is the birthplace of the glass blower Tom Zorn of Bergwick?"
+    items = [(k, question, f"He died. In {1800 + k} the founder Kim{k} Varn of Orntal moved to Sels{k} and there taught the piano for many quiet years.") for k in range(1000)]
+    r = L.Reference(items)
+    assert L.leaks(L.tokens(f"Note: {question} (copied)"), r).keys() == set(range(1000))
+    assert L.leaks(L.tokens("Then it says: He died. The end."), r).keys() == set(range(1000)) and not L.leaks(L.tokens("He lived and died."), r)
+    text = L.tokens(items[7][2].split(". ")[1])
+    far = L.tokens("nothing of the kind stands here in between these words and it goes on for a while until the other half comes up at last in the end of it all")
+    assert 7 in L.leaks(text[len(text) // 2 :] + far + text[: len(text) // 2], r)
+
+
+def test_rolling_hashes_find_the_tiles():
+    left, right = "a b c d e f g h i j".split(), "x f g h i j y a b c z".split()
+    assert L.tile(left, right) == [(5, 1, 5), (0, 7, 3)] and L.tile([], right) == [] and L.tile(left, []) == []
+
+
+def test_names_and_accounts_by_structure():
+    named = lambda t: [t[b:e] for k, b, e in P.find(t) if k == "name"]
+    for t in ("Written by Anna Kowalska", "Editor: Anna Kowalska", "Best, Anna Kowalska", "I'm Anna Kowalska", "- Autor: Anna Kowalska\nmore"):
+        assert named(t) == ["Anna Kowalska"], t
+    assert named("The novel was Written by Anna Kowalska in Rome") == [] and named("I am Legend") == []
+    account = lambda t: [t[b:e] for k, b, e in P.find(t) if k == "account"]
+    assert account("IBAN DE89370400440532013000") == ["DE89370400440532013000"] and account("IBAN DE88370400440532013000") == []
+    assert account("my card 4111 1111 1111 1111 here") == ["4111 1111 1111 1111"] and account("card 4111 1111 1111 1112") == []
