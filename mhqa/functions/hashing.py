@@ -41,6 +41,11 @@ def _canonical(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else dumps(json.loads(t)) for t in texts.to_pylist()], pa.string())
 
 
+def canonical_text(text: Column) -> Column:
+    """JSON text in canonical form."""
+    return _canonical(text)
+
+
 def canonical_json(record: Column) -> Column:
     """JSON of a struct or map with sorted keys, compact, not escaped to ASCII, nulls kept."""
     return _canonical(F.to_json(record, {"ignoreNullFields": "false"}))
@@ -61,7 +66,7 @@ def _semantic(texts: pa.Array) -> pa.Array:
                 provenance[volatile] = empty
         if not provenance.get("assignment_manifest_sha256"):
             provenance.pop("assignment_manifest_sha256", None)
-        if isinstance(provenance.get("decoding"), str):
+        if "decoding" in provenance:  # JSON text; nothing counts as no parameters
             provenance["decoding"] = json.loads(provenance["decoding"] or "{}")
         out.append(dumps(record))
     return pa.array(out, pa.string())

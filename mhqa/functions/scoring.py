@@ -58,11 +58,18 @@ def entropy(languages: Column) -> Column:
     return F.when(n <= 1, F.lit(0.0)).otherwise(sum_ / F.ln(n))
 
 
+def in_range(value: Column, name: str) -> Column:
+    """``value`` if it lies within 0 and 1 (a rounding error beyond is allowed) or is null, else an error; NaN is one."""
+    return F.when(value.isNull() | ((value >= -1e-9) & (value <= 1 + 1e-9) & ~F.isnan(value.cast("double"))), value).otherwise(F.raise_error(F.concat(F.lit(f"{name} beyond 0 to 1: "), value.cast("string"))).cast("double"))
+
+
 def mismatch_bin(value: Column) -> Column:
+    value = in_range(value, "mismatch")
     return F.when(value.isNull(), "not-applicable").when(F.abs(value) <= 1e-12, "zero").when(F.abs(value - 1) <= 1e-9, "full").otherwise("partial")
 
 
 def entropy_bin(value: Column) -> Column:
+    value = in_range(value, "entropy")
     return F.when(F.abs(value) <= 1e-12, "zero").when(F.abs(value - 1) <= 1e-9, "maximal").otherwise("intermediate")
 
 

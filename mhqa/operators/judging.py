@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mhqa.functions import scoring as S
 from mhqa.functions.hashing import canonical_json, sample_rank
 from mhqa.operators.keys import ContractError, latest
 
 C = F.col
 UNITS = ("paragraph", "question", "answer")
+#: More combinations of language and unit than this can't be a balanced sample.
+MAX_GROUPS = 10_000
 
 
 def record_id(instance: Column, language: Column, paragraph: Column, source: Column, unit: Column) -> Column:
@@ -93,24 +94,16 @@ def summary_cube(results: DataFrame) -> DataFrame:
 
 def require_balance(results: DataFrame, expected: dict[str, int], *, languages: int) -> None:
     """ContractError unless ids are unique and every language has the expected number of each unit."""
+    if (groups := results.select("language", "unit").distinct().count()) > MAX_GROUPS:
+        raise ContractError(f"{groups} groups of language and unit")
     total, distinct = results.agg(F.count("*"), F.countDistinct("record_id")).first()
-    counts = {(r.language, r.unit): r.n for r in results.groupBy("language", "unit").agg(F.count("*").alias("n")).limit(10_000).collect()}
+    counts = {(r.language, r.unit): r.n for r in results.groupBy("language", "unit").agg(F.count("*").alias("n")).collect()}
     found = {language for language, _ in counts}
     wrong = {(x, u): counts.get((x, u), 0) for x in found for u, n in expected.items() if counts.get((x, u), 0) != n}
     if total != distinct or len(found) != languages or wrong or total != languages * sum(expected.values()):
         raise ContractError(f"unbalanced: {total} rows, {distinct} ids, {len(found)} languages, {dict(list(wrong.items())[:5])}")
 
 
-def sanitized(rows: DataFrame) -> DataFrame:
-    """Judge rows without texts and reasoning: hashes, explanation and the origin of the score instead. Failed and inconsistent rows are dropped; ``rejected`` tells why."""
-    checked = rows.withColumn("score_origin", S.score_origin(C("score"), C("judge_text"), C("reasoning")))
-    good = checked.where("error is null or error = ''").where(C("unit").isin(*UNITS) & C("score").between(0, 100) & C("score_origin").isNotNull())
-    return good.select(
-        "instance_id", "source_id", "source_split", "language", "unit", F.when(C("unit") == "paragraph", C("paragraph_id")).alias("paragraph_id"), "score", "score_origin",
-        S.explanation(C("judge_text")).alias("explanation"), F.sha2("source_text", 256).alias("source_text_sha256"), F.sha2("candidate_text", 256).alias("candidate_text_sha256"),
-    )
-
-
 def bootstrap(results: DataFrame, *, replicates: int, seed: int, strata: tuple[str, ...] = ("language", "unit")) -> DataFrame:
     """(unit, replicate, mean): means of a stratified bootstrap, n out of n with replacement within each stratum; ``unit`` is null for all units.
 

@@ -65,13 +65,11 @@ def positional_join(left: DataFrame, right: DataFrame, *, left_order: Sequence[s
     The columns of both, ``ordinal`` (of the left row) and ``member`` (0 … group - 1). With ``strict`` a surplus or shortfall on either side is a
     ContractError; else the missing side is null.
     """
-    a = with_ordinal(left, *left_order).withColumn("__left", F.lit(True))
-    b = with_ordinal(right, *right_order, into="__row").withColumns({"ordinal": F.floor(F.col("__row") / group).cast("long"), "member": (F.col("__row") % group).cast("int"), "__right": F.lit(True)}).drop("__row")
-    joined = a.withColumn("ordinal", F.col("ordinal").cast("long")).join(b, "ordinal", "full")
-    if strict:
-        sizes = joined.groupBy("ordinal").agg(F.count("__left").alias("l"), F.count("__right").alias("r"))
-        require_empty(sizes.where((F.col("r") != group) | (F.col("l") != group)), "rows don't fit the groups", "ordinal", "l", "r")
-    return joined.drop("__left", "__right")
+    if strict and (n := left.count()) * group != (m := right.count()):  # ordinals have no gaps, so the counts tell all
+        raise ContractError(f"rows don't fit the groups: {n} times {group} on the left, {m} on the right")
+    a = with_ordinal(left, *left_order)
+    b = with_ordinal(right, *right_order, into="__row").withColumns({"ordinal": F.floor(F.col("__row") / group).cast("long"), "member": (F.col("__row") % group).cast("int")}).drop("__row")
+    return a.withColumn("ordinal", F.col("ordinal").cast("long")).join(b, "ordinal", "inner" if strict else "full")
 
 
 def exact_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,4 +88,8 @@ def pending(inputs: DataFrame, completed: DataFrame, keys: Sequence[str]) -> Dat
 def ordered_digest(df: DataFrame, line: Column, ordinal: str, *, chunk: int = 1000) -> DataFrame:
     """(n, digest): a digest that depends on the order of the rows. Chunks of consecutive lines are hashed, then the chunks' digests in order, so no task holds all lines."""
     chunks = df.select(F.floor(F.col(ordinal) / chunk).alias("c"), F.struct(F.col(ordinal).alias("o"), line.alias("l")).alias("x")).groupBy("c").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat(x["l"], F.lit("\n")))), 256).alias("d"))
+    top = chunks.agg(F.max("c")).first()[0] or 0
+    while top >= chunk:  # a tree of digests, so that the last task gets no more than a chunk of them
+        chunks = chunks.select(F.floor(F.col("c") / chunk).alias("k"), "c", "n", "d").groupBy("k").agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"])), 256).alias("d")).withColumnRenamed("k", "c")
+        top //= chunk
     return chunks.agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"])), 256).alias("digest"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from mhqa.functions.hashing import checksum
 from mhqa.functions.text import is_blank, normalize_title
 from mhqa.operators.keys import exact_join, require_empty
+from mhqa.operators.validation import RECORD, checksums
 from mhqa.schemas import CODES, LANGUAGES, languages
 
 C = F.col
@@ -17,17 +18,21 @@ def view_id(identifier: Column, language: Column) -> Column:
     return F.concat(identifier, F.lit("--qa-"), language)
 
 
-def expand(bases: DataFrame, translations: DataFrame) -> DataFrame:
-    """One view of each base for each language: (every column of the base, with id, question, answer and languages of the view).
+def expand(bases: DataFrame, translations: DataFrame, *, verify: bool = False) -> DataFrame:
+    """One view of each base for each language: (every column of the base, with id, question, answer, languages and, of whole records, checksum of the view).
 
+    With ``verify`` a base whose checksum isn't that of its content is a ContractError.
     ``translations`` has (source_id, language, question, answer) and must hold all 24 languages of each base, and of no other source.
     """
+    if verify:
+        require_empty(checksums(bases).where("not valid"), "base records with a wrong checksum", "id")
     incomplete = translations.groupBy("source_id").agg(F.count("*").alias("n"), F.countDistinct("language").alias("d"), F.count_if(~C("language").isin(*CODES) | is_blank(C("question")) | is_blank(C("answer"))).alias("bad"))
     require_empty(incomplete.where((C("n") != len(CODES)) | (C("d") != len(CODES)) | (C("bad") > 0)), "translation sets aren't complete", "source_id", "n", "d", "bad")
     require_empty(bases.groupBy("source_id").count().where("count > 1"), "base sources repeat", "source_id")
     texts = translations.select("source_id", C("language").alias("__l"), C("question").alias("__q"), C("answer").alias("__a"))
     joined = exact_join(bases, texts, ["source_id"])
-    return joined.withColumns({"id": view_id(C("id"), C("__l")), "question": C("__q"), "answer": C("__a"), "question_language": C("__l"), "answer_language": C("__l")}).drop("__l", "__q", "__a")
+    views = joined.withColumns({"id": view_id(C("id"), C("__l")), "question": C("__q"), "answer": C("__a"), "question_language": C("__l"), "answer_language": C("__l")}).drop("__l", "__q", "__a")
+    return views.withColumn("checksum", checksum(F.struct(*RECORD))) if set(RECORD) <= set(views.columns) else views
 
 
 def view_ids(sources: DataFrame) -> DataFrame:
@@ -133,14 +138,6 @@ def duplicate_titles(instances: DataFrame) -> DataFrame:
     return titles.groupBy("id", "t").count().where("count > 1").select("id").distinct()
 
 
-def apply_corrections(rows: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Rows with ``replacement`` of the correction of the same legacy id and raw hash; a correction that no row uses is a ContractError."""
-    require_empty(corrections.join(rows, "legacy_id", "left_anti"), "corrections that no row uses", "legacy_id")
-    found = rows.join(corrections.select("legacy_id", C("raw_sha256").alias("__h"), "replacement"), "legacy_id", "left")
-    mismatch = C("__h").isNotNull() & (C("__h") != C("raw_sha256"))
-    return found.withColumn("issues", F.when(mismatch, F.array_union("issues", F.array(F.lit("correction_raw_hash_mismatch")))).when(C("__h").isNotNull(), F.array().cast(T.ArrayType(T.StringType()))).otherwise(C("issues"))).withColumn("replacement", F.when(~mismatch, C("replacement"))).drop("__h")
-
-
 def assignment_units(assignments: DataFrame) -> DataFrame:
     """(source_id, unit_id, language, ord) of a manifest's map<source, map<unit, language>>, questions first, paragraphs by number; ContractError for gaps or unknown languages."""
     rows = assignments.select(F.explode("assignments").alias("source_id", "u")).select("source_id", F.explode("u").alias("unit_id", "language"))

@@ -15,6 +15,7 @@ from mhqa.functions import scoring as S
 from mhqa.functions.text import is_blank, normalize_title
 from mhqa.operators.judging import UNITS
 from mhqa.operators.records import paragraph_index
+from mhqa.runtime import materialise
 from mhqa.schemas import CODES, LANGUAGES
 
 C = F.col
@@ -51,6 +52,11 @@ def _paragraph_id(index: Column) -> Column:
     return F.format_string("p%02d", index.cast("int"))
 
 
+def _hashed(record: DataFrame, name: str, value: Column) -> DataFrame:
+    """``record``, written once, with ``value`` as ``name``: the hash of a whole record depends on other functions in Python, and one on the result of another can't always be evaluated in one projection."""
+    return materialise(record).withColumn(name, value)
+
+
 def status_of(structural: Column, quality: Column) -> Column:
     """quarantined with any structural flag, review_required with any flag of quality, else accepted."""
     return F.when(F.size(structural) > 0, "quarantined").when(F.size(quality) > 0, "review_required").otherwise("accepted")
@@ -194,7 +200,7 @@ def generated_release(joined: DataFrame, own: str, *, split: str | None = None)
         F.when(p("decoding") == "", "{}").otherwise(p("decoding")).alias("decoding_json"), p("created_at").alias("created_at"), F.coalesce(C("provenance.retry_count"), F.lit(0)).alias("recorded_retry_count_unreliable"),
         p("validation_status").alias("recorded_validation_status"), p("schema_version").alias("input_schema_version"),
     )
-    return record.withColumn("release_record_sha256", H.record_hash(F.struct(*record.columns), "release_record_sha256", emptied=True))
+    return _hashed(record, "release_record_sha256", H.record_hash(F.struct(*record.columns), "release_record_sha256", emptied=True))
 
 
 # -- historical rows -----------------------------------------------------------------------------------------------------
@@ -313,7 +319,7 @@ def public_release(rows: DataFrame, provenance: dict[str, str]) -> DataFrame:
         kind("difficulty").alias("difficulty"), F.transform(kept, lambda x: candidate(x["c"], x["i"])).alias("candidates"), F.transform(facts, fact).alias("supporting_facts"), "status", "structural_flags",
         F.struct(*of_release[0], *origin, *of_release[1]).alias("provenance"),
     )
-    return record.withColumn("record_sha256", H.record_hash(F.struct(*record.columns, F.lit("").alias("record_sha256")), "record_sha256"))
+    return _hashed(record, "record_sha256", H.record_hash(F.struct(*record.columns, F.lit("").alias("record_sha256")), "record_sha256"))
 
 
 # -- judge rows -----------------------------------------------------------------------------------------------------------

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from urllib.parse import urlsplit
 
@@ -12,11 +11,11 @@ from pyspark.sql import functions as F
 
 from mhqa.operators import evaluation, judging, keys, records, validation
 from mhqa.operators.keys import ContractError
-from mhqa.schemas import CODES, LEGACY_ORDER
+from mhqa.plans.imports import import_legacy
+from mhqa.schemas import CODES
 from mhqa.sources import readers, sinks
 
 C = F.col
-VIEWS = {"train": len(CODES), "validation": 1}
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -49,40 +48,6 @@ def expand(spark: SparkSession, bases: str, translations: str, output: str) -> i
     return views.count()
 
 
-def import_legacy(spark: SparkSession, shards: Sequence[str], source: str, output: str, *, split: str) -> dict:
-    """Joins historical shards to their sources by position, audits the rows, and writes accepted and quarantined ones; the counts.
-
-    Each source takes 24 (train) or 1 (validation) consecutive rows; train views must stand in the historical order.
-    """
-    sources = readers.source_array(spark, source, difficulty="hard" if split == "train" else None)
-    cells = None
-    for k, shard in enumerate(shards):
-        part = readers.column_shard(spark, shard, ordinal=k)
-        cells = part if cells is None else cells.unionByName(part)
-    if cells is None:
-        raise ContractError("no shards")
-    names = ("context", "question", "answer", "target_language")
-    packed = cells.select("shard", "shard_ord", "shard_row", *[F.to_json(F.struct(C(n).alias("v"))).alias(f"cell_{n}") for n in names])  # as text, since variants can't be shuffled
-    facts = F.transform(C("supporting_facts"), lambda f: F.struct(F.format_string("p%02d", (F.array_position(F.transform("source_context", lambda p: p["title"]), f["title"]) - 1).cast("int")).alias("paragraph_id"), f["sentence_id"].alias("sentence_id")))
-    wanted = sources.select("pos", "source_id", F.transform("context", lambda p: F.struct(p["title"].alias("title"), p["sentences"].alias("sentences"))).alias("source_context"), "supporting_facts").withColumn("source_facts", facts).drop("supporting_facts")
-    joined = keys.positional_join(wanted, packed, left_order=["pos"], right_order=["shard_ord", "shard_row"], group=VIEWS[split])
-    return _audited(joined.withColumns({n: F.try_variant_get(F.parse_json(f"cell_{n}"), "$.v", "variant") for n in names}), output, split)
-
-
-def _audited(joined: DataFrame, output: str, split: str) -> dict:
-    language = records.legacy_language(C("target_language"))
-    audited = records.legacy_issues(joined.withColumn("language", language))
-    if split == "train":
-        order = F.create_map(*[F.lit(x) for k, c in enumerate(LEGACY_ORDER) for x in (c, k)])
-        keys.require_empty(audited.where(C("language").isNotNull() & (F.element_at(order, C("language")) != C("member"))), "target order differs", "source_id", "member")
-    identifier = F.concat(F.lit(f"xhp-{split}-"), C("source_id"), F.when(F.lit(split == "train"), F.concat(F.lit("--qa-"), F.coalesce("language", F.lit("und")))).otherwise(F.lit("")))
-    flat = audited.select(identifier.alias("id"), "source_id", "language", "shard", "shard_row", "issues", *[C(f"cell_{n}").alias(n) for n in ("context", "question", "answer")])
-    accepted, quarantined = records.route(flat)
-    sinks.write_jsonl(accepted, f"{output}/accepted", "source_id", "id")
-    sinks.write_jsonl(quarantined, f"{output}/quarantine", "source_id", "id")
-    return {"accepted": accepted.count(), "quarantined": quarantined.count(), "issues": {r["issue"]: r["n"] for r in rows(flat.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")))}}
-
-
 def judge_report(results: DataFrame) -> list[dict]:
     return rows(judging.report(judging.last_results(results)))
 

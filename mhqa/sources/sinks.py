@@ -6,7 +6,7 @@ import contextlib
 import json
 import os
 import shutil
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,9 @@ from mhqa.operators.keys import ContractError, with_ordinal
 from mhqa.sources.readers import file_facts
 
 
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+
+
 @contextlib.contextmanager
 def exclusive(path: str) -> Iterator[None]:
     """A lock file beside ``path``; ContractError if another run holds it."""
@@ -51,10 +54,37 @@ def staged(path: str, write: Callable[[str], None], check: Callable[[str], None]
         shutil.rmtree(old, ignore_errors=True)
 
 
-def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
-    """Canonical JSON lines, ordered across files by ``order``."""
+def write_bytes(path: str, payload: bytes) -> None:
+    """A file written beside its place, brought to the disk, and put there at once."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    temporary = f"{path}.{os.getpid()}.tmp"
+    try:
+        with open(temporary, "wb") as file:
+            file.write(payload)
+            file.flush()
+            os.fsync(file.fileno())
+        os.replace(temporary, path)
+    finally:
+        if os.path.exists(temporary):
+            os.remove(temporary)
+
+
+def write_document(path: str, document: object) -> None:
+    """A JSON document for readers: indented, keys sorted, not escaped to ASCII."""
+    write_bytes(path, (json.dumps(document, ensure_ascii=False, sort_keys=True, indent=2, default=str) + "\n").encode())
+
+
+def write_table(df: DataFrame, path: str, metadata: dict[str, str], *order: str) -> None:
+    """Parquet with ``metadata`` in its schema (of each top-level field, where a reader finds it), sorted by ``order``, zstd at level 9."""
+    noted = df.select(*[F.col(c).alias(c, metadata={**df.schema[c].metadata, **metadata}) for c in df.columns])
+    ordered = noted.orderBy(*order) if order else noted
+    staged(path, lambda p: ordered.write.options(**ZSTD).parquet(p))
+
+
+def write_jsonl(df: DataFrame, path: str, *order: str, drop: Sequence[str] = ()) -> None:
+    """Canonical JSON lines, ordered across files by ``order``, without the columns ``drop``."""
     ordered = df.orderBy(*order) if order else df
-    staged(path, lambda p: ordered.select(canonical_json(F.struct(*map(F.col, df.columns))).alias("value")).write.text(p))
+    staged(path, lambda p: ordered.select(canonical_json(F.struct(*[F.col(c) for c in df.columns if c not in drop])).alias("value")).write.text(p))
 
 
 def write_shards(df: DataFrame, path: str, *order: str, rows: int = 5000, split: str = "train", schema: str | None = None) -> list[str]:
@@ -63,7 +93,7 @@ def write_shards(df: DataFrame, path: str, *order: str, rows: int = 5000, split:
     names: list[str] = []
 
     def write(stage: str) -> None:
-        numbered.repartition("__shard").sortWithinPartitions("__shard", "ordinal").drop("ordinal").write.partitionBy("__shard").option("compression", "zstd").parquet(stage)
+        numbered.repartition("__shard").sortWithinPartitions("__shard", "ordinal").drop("ordinal").write.partitionBy("__shard").options(**ZSTD).parquet(stage)
         folders = sorted((f for f in os.listdir(stage) if f.startswith("__shard=")), key=lambda f: int(f.split("=")[1]))
         for k, folder in enumerate(folders):
             (part,) = [f for f in os.listdir(f"{stage}/{folder}") if f.endswith(".parquet")]
@@ -87,9 +117,18 @@ def language_table(summary: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, directory: str, **facts: object) -> dict[str, object]:
-    """Names, sizes and digests of the files of a release, with ``facts`` and a fingerprint over all of it."""
+    """Names, sizes, digests and (of Parquet files) rows of the files of a release, the environment and code revision, with ``facts`` and a fingerprint over all of it."""
+    import platform
+    import subprocess
     from hashlib import sha256
 
+    import pyarrow.parquet as pq
+
     files = [r.asDict() for r in file_facts(spark, directory).drop("modified").orderBy("name").collect()]  # one row for each file of a release
-    body = {"files": files, **facts}
+    for file in files:
+        if file["name"].endswith(".parquet"):
+            file["rows"] = pq.read_metadata(f"{directory}/{file['name']}").num_rows  # the footer alone
+    git = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, cwd=os.path.dirname(__file__), check=False)
+    environment = {"python": platform.python_version(), "spark": spark.version, "revision": git.stdout.strip() if git.returncode == 0 else None}
+    body = {"files": files, "environment": environment, **facts}
     return body | {"fingerprint": sha256(json.dumps(body, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()}

@@ -79,7 +79,7 @@ def test_shards_and_manifest(spark, tmp_path):
     assert names == [f"train-{k:05d}-of-00003.parquet" for k in range(3)]
     assert [r.id for r in spark.read.parquet(str(tmp_path / "out" / names[1])).collect()] == list(range(10, 20))
     made = sinks.manifest(spark, str(tmp_path / "out"), rows=23)
-    assert len(made["files"]) == 3 and len(made["fingerprint"]) == 64
+    assert len(made["files"]) == 3 and len(made["fingerprint"]) == 64 and [f["rows"] for f in made["files"]] == [10, 10, 3]
 
 
 def test_staging_keeps_the_old_output(spark, tmp_path):
@@ -153,3 +153,85 @@ def test_resume(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(sink).collect()) == ["1", "2", "3"]
     with pytest.raises(ContractError):
         generation.resume(spark, source, schema, sink, checkpoint, build, key="k", signature="s2")
+
+
+def test_numbered_lines_by_ranges(spark, tmp_path):
+    p = tmp_path / "l.txt"
+    p.write_text("".join(f"line {k} {'ä' * (k % 7)}\n" for k in range(500)) + "last", encoding="utf-8")
+    rows = readers.numbered_lines(spark, str(p), size=97).orderBy("line").collect()
+    assert [r.line for r in rows] == list(range(1, 502)) and rows[321].value.startswith("line 321 ") and rows[-1].value == "last"
+
+
+def test_json_stream():
+    import io
+
+    from mhqa.sources.streams import JsonStream
+
+    value = {"a": {"0": [1, "x\u00e9 ]}", {"k": None}], "1": 12345}, "b": {}}
+    text = json.dumps(value, ensure_ascii=False, indent=1)
+    for chunk in (1, 3, 7, 4096):
+        s = JsonStream(io.BytesIO(text.encode()), chunk)
+        found = {key: {k: json.loads(s.value()) for k in s.entries()} for key in s.entries()}
+        s.finish()
+        assert found == value
+        s = JsonStream(io.BytesIO(b"[1, 23, [4]]"), chunk)
+        assert [json.loads(s.value()) for _ in s.entries()] == [1, 23, [4]]
+    for bad in ("[1", "{1: 2}", "[1 2]", "[1] x"):
+        with pytest.raises(ValueError):
+            s = JsonStream(io.BytesIO(bad.encode()), 2)
+            for _ in s.entries():
+                s.value()
+            s.finish()
+
+
+@pytest.mark.skipif(not os.environ.get("LARGE_TESTS"), reason="writes 300 MB")
+def test_large_shard(spark, tmp_path):
+    n, text = 3000, "x" * 25_000
+    p = tmp_path / "big.json"
+    with p.open("w") as file:
+        for k, (column, cell) in enumerate((("translate_context", [["T", [text] * 4, "Persian"]]), ("translate_question", "q"), ("translate_answer", "a"), ("target_language", "Persian"))):
+            file.write(("{" if not k else ", ") + f'"{column}": {{' + ", ".join(f'"{i}": {json.dumps(cell)}' for i in range(n)) + "}")
+        file.write("}")
+    assert p.stat().st_size > 300_000_000 and readers.column_shard(spark, str(p)).count() == n
+
+
+def test_corrections_reader(spark, tmp_path):
+    good = {"legacy_id": "a", "raw_sha256": "f" * 64, "reason": "typo", "replacement": {"id": "a"}}
+    assert json.loads(readers.corrections(spark, lines(tmp_path / "c.jsonl", good)).first().replacement) == {"id": "a"}
+    for bad in ({**good, "extra": 1}, {**good, "raw_sha256": "x"}, {**good, "reason": " "}, {**good, "replacement": "x"}, {**good, "legacy_id": ""}):
+        with pytest.raises(ContractError):
+            readers.corrections(spark, lines(tmp_path / "d.jsonl", bad))
+    with pytest.raises(ContractError, match="repeat"):
+        readers.corrections(spark, lines(tmp_path / "e.jsonl", good, good))
+
+
+def test_typed_sources(spark, tmp_path):
+    def array(name, *ids):
+        (tmp_path / name).write_text(json.dumps([{"_id": i, "question": "Q", "answer": "A", "context": [], "supporting_facts": []} for i in ids]))
+        return str(tmp_path / name)
+
+    assert readers.typed_sources(spark, array("a.json", "x", "y"), array("b.json", "z")).count() == 3
+    with pytest.raises(ContractError, match="repeat"):
+        readers.typed_sources(spark, array("a.json", "x"), array("b.json", "x"))
+    with pytest.raises(ContractError, match="without id"):
+        readers.typed_sources(spark, array("c.json", ""))
+
+
+def test_locks_notice_changes(spark, tmp_path):
+    p = lines(tmp_path / "x.jsonl", {"a": 1})
+    locks = readers.file_facts(spark, p).select("name", "bytes", "sha256").withColumn("ord", F.lit(0))
+    with readers.locked(spark, [p], locks):
+        pass
+    with pytest.raises(ContractError, match="changed"), readers.locked(spark, [p], locks):
+        lines(tmp_path / "x.jsonl", {"a": 1}, {"a": 2})
+
+
+def test_documents_and_metadata(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    sinks.write_document(str(tmp_path / "d" / "x.json"), {"b": 1, "a": "ä"})
+    assert (tmp_path / "d" / "x.json").read_text(encoding="utf-8") == '{\n  "a": "ä",\n  "b": 1\n}\n' and os.listdir(tmp_path / "d") == ["x.json"]
+    sinks.write_table(spark.range(3), str(tmp_path / "t"), {"config": "v2"}, "id")
+    assert spark.read.parquet(str(tmp_path / "t")).schema["id"].metadata == {"config": "v2"}
+    (part,) = [f for f in os.listdir(tmp_path / "t") if f.endswith(".parquet")]
+    assert b"v2" in pq.read_metadata(tmp_path / "t" / part).metadata[b"org.apache.spark.sql.parquet.row.metadata"]

@@ -155,18 +155,6 @@ def source(spark, **over):
     return spark.createDataFrame([base | over], HOTPOT_SOURCE)
 
 
-def test_source_flags(spark):
-    clean = records.source_flags(frame(spark, instance(q="en")), source(spark)).first()
-    assert clean.structural == [] and clean.quality == ["provenance:assignment_manifest_hash_missing"]
-    copy = records.source_flags(frame(spark, instance(q="de", candidates=[candidate(language="de")])), source(spark)).first()
-    assert copy.structural == [] and copy.quality == ["provenance:assignment_manifest_hash_missing", "xhotpot:answer_source_copy", "xhotpot:paragraph_sentence_source_copy", "xhotpot:question_source_copy"]
-    odd = records.source_flags(frame(spark, instance(candidates=[candidate("p01")], facts=(("p00", 7),))), source(spark)).first()
-    assert {"xhotpot:invalid_paragraph_id", "xhotpot:candidate_order_mismatch", "source:support_index_out_of_range", "xhotpot:support_annotation_mismatch"} <= set(odd.structural)
-    assert records.source_flags(frame(spark, instance(source_id="none")), source(spark)).first().structural == ["source:missing"]
-    nulls = records.source_flags(frame(spark, instance(candidates=None, supporting_facts=None)), source(spark, context=None, supporting_facts=None))
-    assert nulls.count() == 1
-
-
 def judge_rows(spark):
     rows = [(f"r{k}", lang, unit, score, "train", 1 + (k == 3)) for k, (lang, unit, score) in enumerate([("de", "answer", 90), ("de", "answer", 50), ("fr", "answer", None), ("fr", "question", 70)])]
     return spark.createDataFrame(rows, "record_id string, language string, unit string, score int, source_split string, attempts int")
@@ -210,13 +198,6 @@ def test_balance(spark):
     judging.require_balance(rows.where("language = 'de'"), {"answer": 2}, languages=1)
 
 
-def test_sanitized(spark):
-    schema = "instance_id string, source_id string, source_split string, language string, unit string, paragraph_id string, score int, judge_text string, reasoning string, error string, source_text string, candidate_text string"
-    rows = spark.createDataFrame([("i", "s", "train", "de", "answer", "p1", 91, "Fine.\nSCORE: 91", "", None, "a", "b"), ("j", "s", "train", "de", "answer", None, 91, "SCORE: 90", "", None, "a", "b"), ("k", "s", "train", "de", "answer", None, 91, "SCORE: 91", "", "failed", "a", "b")], schema)
-    (r,) = judging.sanitized(rows).collect()
-    assert r.instance_id == "i" and r.paragraph_id is None and r.explanation == "Fine." and r.score_origin == "visible_explicit" and len(r.source_text_sha256) == 64
-
-
 def legacy(spark, context, question='"q"', answer='"a"', target='"Persian"'):
     df = spark.createDataFrame([(context, question, answer, target)], "c string, q string, a string, t string")
     return records.legacy_issues(
@@ -242,15 +223,5 @@ def test_assignment_units(spark):
             records.assignment_units(rows(bad))
 
 
-def test_corrections(spark):
-    rows = spark.createDataFrame([("a", "h1", ["x"]), ("b", "h2", [])], "legacy_id string, raw_sha256 string, issues array<string>")
-    fix = lambda i, h: spark.createDataFrame([(i, h, "{}")], "legacy_id string, raw_sha256 string, replacement string")
-    found = {r.legacy_id: (r.issues, r.replacement) for r in records.apply_corrections(rows, fix("a", "h1")).collect()}
-    assert found == {"a": ([], "{}"), "b": ([], None)}
-    assert records.apply_corrections(rows, fix("b", "no")).where("legacy_id = 'b'").first().issues == ["correction_raw_hash_mismatch"]
-    with pytest.raises(keys.ContractError):
-        records.apply_corrections(rows, fix("c", "h"))
-
-
 def test_duplicate_titles(spark):
     assert [r.id for r in records.duplicate_titles(frame(spark, instance("a", candidates=[candidate("p0", title="Ａda "), candidate("p1", title="ADA")]), instance("b"))).collect()] == ["a"]
