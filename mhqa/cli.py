@@ -1,9 +1,10 @@
-"""Commands: validate, evaluate, expand, import-legacy, preflight. The exit code is 1 where the data fail a check."""
+"""Commands: validate, evaluate, expand, import-legacy, generate, judge, release, upload (dry run), preflight. The exit code is 1 where the data fail a check or units failed."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Sequence
 from pathlib import Path
@@ -28,12 +29,33 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("output")
     c.add_argument("shards", nargs="+")
     c.add_argument("--split", required=True, choices=("train", "validation"))
+    c.add_argument("--corrections")
+    c = commands.add_parser("generate")
+    for name in ("config", "sources", "output"):
+        c.add_argument(name)
+    c.add_argument("--split", required=True, choices=("train", "validation"))
+    c.add_argument("--difficulty")
+    c.add_argument("--seed", type=int, default=42)
+    c.add_argument("--manifest")
+    c.add_argument("--prompt", required=True, help="a file with the system prompt")
+    c = commands.add_parser("judge")
+    for name in ("config", "instances", "sources", "output"):
+        c.add_argument(name)
+    c = commands.add_parser("release")
+    for name in ("instances", "sources", "output"):
+        c.add_argument(name)
+    c.add_argument("--split", required=True, choices=("train", "validation"))
+    c.add_argument("--prefix", required=True, help="of the release's own flags, as set:")
+    c = commands.add_parser("upload")
+    c.add_argument("card")
+    c.add_argument("files", nargs="+", help="NAME=PATH")
+    c.add_argument("--dry-run", action="store_true", required=True)
     c = commands.add_parser("preflight")
     c.add_argument("card")
     return top
 
 
-def main(argv: Sequence[str] | None = None, spark=None) -> int:  # noqa: ANN001
+def main(argv: Sequence[str] | None = None, spark=None, make_client=None) -> int:  # noqa: ANN001
     args = parser().parse_args(argv)
     from mhqa.plans import pipelines
 
@@ -55,8 +77,21 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:  # noqa: ANN001
         out = pipelines.evaluate(spark, args.gold, args.predictions, protocol=args.protocol)
     elif args.command == "expand":
         out = {"views": pipelines.expand(spark, args.bases, args.translations, args.output)}
+    elif args.command == "generate":
+        config = pipelines.ModelConfig.of(pipelines.load_config(args.config))
+        prompt = Path(args.prompt).read_text(encoding="utf-8")
+        out = pipelines.generate(spark, config, args.sources, args.output, split=args.split, seed=args.seed, manifest=args.manifest, system=prompt, key=os.environ.get("MODEL_API_KEY"), difficulty=args.difficulty, make_client=make_client)
+        ok = not out["failed"]
+    elif args.command == "judge":
+        out = pipelines.judge(spark, pipelines.JudgeConfig.of(pipelines.load_config(args.config)), args.instances, args.sources, args.output, key=os.environ.get("MODEL_API_KEY"), make_client=make_client)
+        ok = not any(r["failed"] for r in out)
+    elif args.command == "release":
+        out = pipelines.release(spark, args.instances, args.sources, args.output, own=args.prefix, split=args.split)
+        ok = not out.get("quarantined")
+    elif args.command == "upload":
+        out = pipelines.upload_plan(spark, args.card, dict(f.split("=", 1) for f in args.files))
     else:
-        out = pipelines.import_legacy(spark, args.shards, args.source, args.output, split=args.split)
+        out = pipelines.import_legacy(spark, args.shards, args.source, args.output, split=args.split, corrections=args.corrections)
         ok = not out["quarantined"]
     print(json.dumps(out, ensure_ascii=False, default=str))
     return int(not ok)

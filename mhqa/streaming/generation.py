@@ -96,6 +96,24 @@ class ChatClient:
         return choices[0]["content"].strip()
 
 
+def http_client(url: str, key: str, model: str, *, temperature: float, max_tokens: int, seed: int | None = None, timeout: float = 300.0) -> Callable[[], Client]:
+    """Makes clients of a service that speaks the usual chat completion protocol at ``url``; the connection is the standard library's."""
+
+    def make() -> Client:
+        from urllib.request import Request, urlopen
+
+        def send(_: Any, messages: list[dict[str, str]]) -> list[dict[str, Any]]:
+            body = {"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens, "response_format": {"type": "json_object"}, **({} if seed is None else {"seed": seed})}
+            request = Request(f"{url}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+            with urlopen(request, timeout=timeout) as reply:  # noqa: S310 - the address was checked to be http(s)
+                choices = json.load(reply)["choices"]
+            return [{"content": c["message"].get("content"), "finish_reason": c.get("finish_reason")} for c in choices]
+
+        return ChatClient(lambda: None, send)
+
+    return make
+
+
 def attempts_of(text: str | None, client: Callable[[], Client], accept: Callable[[str], str], retries: int) -> tuple[str | None, int, str | None, list[dict[str, Any]]]:
     """(accepted reply, attempts, error, audit): one call after another until a reply is accepted; the audit has each attempt's reply and error."""
     if text is None:

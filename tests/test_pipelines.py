@@ -108,3 +108,57 @@ def test_configuration():
 def test_card(tmp_path):
     good = "---\nlicense: x\nsize_categories:\n- 10K<n<100K\nlanguage:\n" + "".join(f"- {c}\n" for c in CODES) + "configs:\n- config_name: d\n  data_files: x\n---\n# Card\n"
     assert pipelines.card_problems(good) == [] and pipelines.card_problems("# x") == ["front matter"] and "language de" in pipelines.card_problems(good.replace("- de\n", ""))
+
+
+def echo():
+    def make():
+        import json as js
+
+        def client(request):
+            content = js.loads(js.loads(request)[1]["content"])
+            if "unit" in content:
+                return js.dumps({"score": 80, "rationale": "fine", "error_tags": []})
+            return js.dumps({"translations": [f"x {t}" for t in content["texts"]]})
+
+        return client
+
+    return make
+
+
+def test_generate_judge_release_commands(spark, tmp_path, capsys):
+    config, prompt, base = tmp_path / "c.json", tmp_path / "p.txt", source(tmp_path, 3)
+    config.write_text(json.dumps({"model": "m"}))
+    prompt.write_text("Translate.")
+    out = str(tmp_path / "g")
+    assert main(["generate", str(config), base, out, "--split", "validation", "--prompt", str(prompt)], spark, make_client=echo()) == 0
+    assert json.loads(capsys.readouterr().out)["written"] == 3
+    made = tmp_path / "made.jsonl"
+    rows = spark.read.parquet(f"{out}/records").drop("signature")
+    made.write_text("".join(json.dumps(r.asDict(recursive=True)) + "\n" for r in rows.collect()))
+    assert main(["validate", str(made), "--expected", "3"], spark) == 0
+    capsys.readouterr()
+    config.write_text(json.dumps({"model": "m", "paragraphs": 2}))
+    assert main(["judge", str(config), str(made), base, str(tmp_path / "j")], spark, make_client=echo()) == 0
+    assert main(["release", str(made), base, str(tmp_path / "r"), "--split", "validation", "--prefix", "set:"], spark) in (0, 1)
+    manifest = json.loads((tmp_path / "r" / "manifest.json").read_text())
+    assert sum(manifest["status"].values()) == 3 and manifest["files"][0]["rows"] == 3
+
+
+def test_upload_stops_before_sending(spark, tmp_path, capsys):
+    card, data = tmp_path / "README.md", tmp_path / "train.jsonl"
+    data.write_text("{}")
+    head = "---\nlicense: x\nsize_categories:\n- 10K<n<100K\nlanguage:\n" + "".join(f"- {c}\n" for c in CODES) + "configs:\n- config_name: d\n  data_files:\n  - path: train.jsonl\n---\n"
+    card.write_text(head)
+    assert main(["upload", str(card), f"train.jsonl={data}", "--dry-run"], spark) == 0 and json.loads(capsys.readouterr().out)["files"]["train.jsonl"]["bytes"] == 2
+    card.write_text(head.replace("10K<n<100K", "many").replace("train.jsonl", "x.jsonl"))
+    with pytest.raises(ContractError, match="size category.*path train.jsonl"):
+        main(["upload", str(card), f"train.jsonl={data}", "--dry-run"], spark)
+
+
+def test_configurations_from_files(tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"model": "m", "answers": 3}))
+    assert pipelines.JudgeConfig.of(pipelines.load_config(str(tmp_path / "c.json"))).answers == 3
+    for bad in ("[1]", '{"model": "m", "answers": 0}', '{"model": "m", "seed": "x"}'):
+        (tmp_path / "c.json").write_text(bad)
+        with pytest.raises(ContractError):
+            pipelines.JudgeConfig.of(pipelines.load_config(str(tmp_path / "c.json")))
