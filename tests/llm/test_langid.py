@@ -59,6 +59,6 @@ def test_held_out_accuracy(spark, data):
 
 def test_other_languages_of_a_script_are_rejected():
     russian = "он родился в большом городе на берегу реки и много лет работал в местном музее где хранятся старые письма жизнь еще щедрые объяснения фьорд цех эхо юг "
-    found = langid.Classifier({"ru": (russian * 4).encode(), "el": ("η πόλη βρίσκεται στις όχθες του ποταμού " * 9).encode()})
+    found = L.Classifier({"ru": (russian * 4).encode(), "el": ("η πόλη βρίσκεται στις όχθες του ποταμού " * 9).encode()})
     assert found.whole("он много лет работал в большом музее на берегу реки")[0] == "ru"
     assert found.whole("він народився у великому місті на березі річки і помер")[0] is None

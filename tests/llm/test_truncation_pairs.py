@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from mhqa.llm import pairs as P
 from mhqa.llm import truncation as T
@@ -92,16 +93,16 @@ def test_defects(spark):
 
 def test_refusals_need_a_sign_of_declining():
     for t in ("assistant coach of the team", "theory of information retrieval", "the answer to everything", "help desk worker", "x", "answer"):
-        assert not pairs.is_refusal(t, "") and not pairs.is_empty(t)
+        assert not P.is_refusal(t, "") and not P.is_empty(t)
     for t in ("I am sorry, but I cannot answer this question.", "Ich kann diese Frage leider nicht beantworten.", "我不便回应这个问题。", "Prefiero no contestar.", "As a language model I am not able to provide that information."):
-        assert pairs.is_refusal(t, ""), t
-    assert pairs.is_empty("[answer]") and pairs.is_empty("<missing>") and pairs.is_empty("n/a")
+        assert P.is_refusal(t, ""), t
+    assert P.is_empty("[answer]") and P.is_empty("<missing>") and P.is_empty("n/a")
 
 
 def test_length_limits_and_sorted_neighbours(spark):
     rows = [(None, "abc", None, [], False, 30 + k % 9) for k in range(45)] + [("s", f"form {k}", None, [], False, 60) for k in range(20)]
-    df = spark.createDataFrame(rows, "source_id string, form string, value string, question_languages array<string>, ended boolean, length int").withColumns({"defect": pairs.F.lit(None).cast("string"), "id": pairs.F.col("form")})
-    assert [r.length for r in pairs.length_limits(df).collect()] == [60]
+    df = spark.createDataFrame(rows, "source_id string, form string, value string, question_languages array<string>, ended boolean, length int").withColumns({"defect": F.lit(None).cast("string"), "id": F.col("form")})
+    assert [r.length for r in P.length_limits(df).collect()] == [60]
     cut = spark.createDataFrame([("1", "s", "in the old", False), ("2", "s", "in the old town", True), ("3", None, "in the old", False)], "id string, source_id string, form string, ended boolean")
-    cut = cut.withColumns({"value": pairs.F.lit(None).cast("string"), "question_languages": pairs.F.array().cast("array<string>"), "defect": pairs.F.lit(None).cast("string")})
-    assert [r.id for r in pairs.shortened(cut, None).collect()] == ["1"]
+    cut = cut.withColumns({"value": F.lit(None).cast("string"), "question_languages": F.array().cast("array<string>"), "defect": F.lit(None).cast("string")})
+    assert [r.id for r in P.shortened(cut, None).collect()] == ["1"]
