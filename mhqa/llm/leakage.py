@@ -39,9 +39,12 @@ PART = 6
 #: Each part of so many pairs of a unit has a seed, the rarest of its pairs if there is no other.
 SEED_PART = 8
 #: A token is an item's own if no larger share of the held-out items and of the documents (or, of few, no more of them) has it; or if, of the documents, most
-#: that have it have all names of one of its units: then it leaked.
-OWN_SHARE, OWN_LEAST, LEAKED_SHARE = 0.004, 4, 0.5
+#: that have it have most names of one of its units: then it leaked.
+OWN_SHARE, OWN_LEAST, LEAKED_SHARE, BESIDE = 0.004, 4, 0.5, 0.8
 COVERAGE, OWN_COVERAGE = 0.78, 0.78
+#: Of the weight of all capitalised tokens so much is covered too, since the same phrasing with other names is no case; those of a larger share of the items or documents (as
+#: nouns that are written with capitals) weigh less.
+NAMED_COVERAGE, USUAL_SHARE, USUAL_DOCUMENTS, USUAL = 0.6, 0.04, 0.02, 0.3
 #: With so high a coverage, fewer of the own tokens suffice: a name may be lost or run together with the next word.
 HIGH_COVERAGE, LOW_OWN_COVERAGE = 0.93, 0.6
 RUN_WORDS, RUN_CHARACTERS, RUN_COVERAGE = 18, 40, 0.8
@@ -75,7 +78,7 @@ def units_of(question: str | None, passage: str | None) -> list[tuple[str, list[
 
 
 class Reference:
-    """The units of the held-out items and the seeds that lead to them. ``items`` has (item_id, question, passage), ``documents`` how many documents have each name, and have it beside all other names of a unit; without it none has.
+    """The units of the held-out items and the seeds that lead to them. ``items`` has (item_id, question, passage), ``documents`` how many documents have each name, and have it beside most other names of a unit; without it none has.
 
     Units of equal tokens are one unit of several items, and items with an equal question count as one where it matters how many items have a token.
     """
@@ -96,10 +99,14 @@ class Reference:
             for kind, unit in mine:
                 owners[kind, tuple(unit)].add(item)
         self.units: list[tuple[tuple[int, ...], str, list[str]]] = [(tuple(sorted(held)), kind, list(unit)) for (kind, unit), held in owners.items()]  # items, kind, tokens
-        self.names = [frozenset(few.intersection(unit)) for _, _, unit in self.units]  # of each unit
+        self.few = frozenset(few)
+        self.names = [frozenset(names.intersection(unit)) for _, _, unit in self.units]  # of each unit
         rare = max(OWN_LEAST, OWN_SHARE * total)
         few_everywhere = {t for t in few for n, beside in [(documents or {}).get(t, (0, 0))] if n <= rare or beside > LEAKED_SHARE * n}
         self.own: list[dict[int, float]] = []  # weights of the positions of capitalised tokens that few items and documents have, and of figures
+        usual = max(OWN_LEAST, USUAL_SHARE * len(groups))
+        often = {t for t, (n, _) in (documents or {}).items() if n > max(OWN_LEAST, USUAL_DOCUMENTS * total)}
+        self.named: list[dict[int, float]] = [{i: USUAL if with_token[t,] > usual or t in often and t not in few_everywhere else 1.0 for i, t in enumerate(unit) if t in names} for _, _, unit in self.units]
         self.seeds: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         self.hits: list[int] = []  # seeds on one diagonal that a unit needs
         for number, (_, _, unit) in enumerate(self.units):
@@ -242,7 +249,7 @@ def leaks(text: list[str], reference: Reference) -> dict[int, tuple[str, float,
         items, kind, target = units[unit]
         if all(item in found for item in items):
             continue
-        own, need, slack = reference.own[unit], reference.hits[unit], 4 + len(target) // 6
+        own, named, need, slack = reference.own[unit], reference.named[unit], reference.hits[unit], 4 + len(target) // 6
         tried: list[int] = []
         windows: list[tuple[int, int]] = []
         detail = None
@@ -252,7 +259,7 @@ def leaks(text: list[str], reference: Reference) -> dict[int, tuple[str, float,
             tried.append(d)
             windows.append((max(0, d - slack), d + len(target) + slack))
             if sum(n for x, n in diagonals.items() if abs(x - d) <= 6) >= need:
-                detail = _judged(kind, target, text[windows[-1][0] : windows[-1][1]], own)
+                detail = _judged(kind, target, text[windows[-1][0] : windows[-1][1]], own, named)
                 if detail:
                     break
         if not detail and kind != "passage" and len(windows) > 1 and sum(diagonals.values()) >= need:  # parts in another order; the sentences of a passage are units themselves
@@ -267,21 +274,21 @@ def leaks(text: list[str], reference: Reference) -> dict[int, tuple[str, float,
             for i, _, n in tile(target, joined, PART):
                 mark[i : i + n] = [True] * n
             share, own_share = sum(mark) / len(mark), _own_share(mark, own, 0, len(mark))
-            if share >= COVERAGE and own_share >= OWN_COVERAGE:
+            if share >= COVERAGE and own_share >= OWN_COVERAGE and _own_share(mark, named, 0, len(mark)) >= NAMED_COVERAGE:
                 detail = kind, share, own_share
         if detail:
             found.update((item, detail) for item in items if item not in found)
     return found
 
 
-def _judged(kind: str, target: list[str], window: list[str], own: dict[int, float]) -> tuple[str, float, float] | None:
+def _judged(kind: str, target: list[str], window: list[str], own: dict[int, float], named: dict[int, float]) -> tuple[str, float, float] | None:
     """(kind, coverage, own coverage) if ``window`` holds the unit ``target``, else None."""
     mark = covered(target, window)
     share, own_share = sum(mark) / len(mark), _own_share(mark, own, 0, len(mark))
     if len(target) < SHORT:
         good = any(target == window[j : j + len(target)] for j in range(len(window) - len(target) + 1))
     else:
-        good = run(mark, target, own) if kind == "passage" else holds(share, own_share)
+        good = run(mark, target, own, named) if kind == "passage" else holds(share, own_share) and _own_share(mark, named, 0, len(mark)) >= NAMED_COVERAGE
     return (kind, share, own_share) if good else None
 
 
@@ -295,7 +302,7 @@ def _own_share(mark: list[bool], own: dict[int, float], begin: int, end: int) ->
     return sum(w for i, w in own.items() if begin <= i < end and mark[i]) / total if total else 1.0
 
 
-def run(mark: list[bool], unit: list[str], own: dict[int, float]) -> bool:
+def run(mark: list[bool], unit: list[str], own: dict[int, float], named: dict[int, float]) -> bool:
     """Whether so many consecutive words of a passage are there (for ideographs, characters), a few being changed."""
     ideographs = sum(len(t) == 1 and not t.isascii() for t in unit) > len(unit) / 3
     sizes = [len(t) if ideographs else 1 for t in unit]
@@ -312,20 +319,20 @@ def run(mark: list[bool], unit: list[str], own: dict[int, float]) -> bool:
             total = size[b + 1] - size[a]
             if total < need:
                 break
-            if hit[b + 1] - hit[a] >= RUN_COVERAGE * total and _own_share(mark, own, a, b + 1) >= OWN_COVERAGE:
+            if hit[b + 1] - hit[a] >= RUN_COVERAGE * total and _own_share(mark, own, a, b + 1) >= OWN_COVERAGE and _own_share(mark, named, a, b + 1) >= NAMED_COVERAGE:
                 return True
     return False
 
 
 def candidates(documents: DataFrame, reference: Reference) -> DataFrame:
-    """What one pass over the documents gives: (doc_id, text) with the tokens of each document that has a seed, and (token, n, beside) with how many documents of a task have each name, and have it beside all names of one of its units; the empty token counts all documents."""
+    """What one pass over the documents gives: (doc_id, text) with the tokens of each document that has a seed, and (token, n, beside) with how many documents of a task have each name, and have it beside most names of one of its units; the empty token counts all documents."""
     shared = documents.sparkSession.sparkContext.broadcast(reference)
     key = dict(documents.select("doc_id").dtypes)["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_token: dict[str, list[frozenset[str]]] = defaultdict(list)
         for names in set(shared.value.names):
-            for t in names:
+            for t in names & shared.value.few:
                 of_token[t].append(names)
         seeds = shared.value.seeds.keys()
         counts, beside = Counter(), Counter()
@@ -340,7 +347,7 @@ def candidates(documents: DataFrame, reference: Reference) -> DataFrame:
                     there = set(found)
                     for t in there & of_token.keys():
                         counts[t] += 1
-                        beside[t] += any(names <= there for names in of_token[t])
+                        beside[t] += any(len(names & there) >= BESIDE * len(names) for names in of_token[t])
                     if not seeds.isdisjoint(zip(found, found[1:])):
                         kept.append(doc)
                         texts.append(" ".join(found))
