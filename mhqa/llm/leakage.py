@@ -40,11 +40,11 @@ PART = 6
 SEED_PART = 8
 #: A token is an item's own if no larger share of the held-out items and of the documents (or, of few, no more of them) has it; or if, of the documents, most
 #: that have it have most names of one of its units: then it leaked.
-OWN_SHARE, OWN_LEAST, LEAKED_SHARE, BESIDE = 0.004, 4, 0.5, 0.8
+OWN_SHARE, OWN_LEAST, LEAKED_SHARE, BESIDE = 0.004, 4, 0.5, 0.9
 COVERAGE, OWN_COVERAGE = 0.78, 0.78
-#: Of the weight of all capitalised tokens so much is covered too, since the same phrasing with other names is no case; those of a larger share of the items or documents (as
+#: Of the weight of all capitalised tokens so much is covered too, since the same phrasing with other names is no case; those of a larger share of the items, or of too many documents (as
 #: nouns that are written with capitals) weigh less.
-NAMED_COVERAGE, USUAL_SHARE, USUAL_DOCUMENTS, USUAL = 0.6, 0.04, 0.02, 0.3
+NAMED_COVERAGE, USUAL_SHARE, USUAL = 0.6, 0.04, 0.3
 #: With so high a coverage, fewer of the own tokens suffice: a name may be lost or run together with the next word.
 HIGH_COVERAGE, LOW_OWN_COVERAGE = 0.93, 0.6
 RUN_WORDS, RUN_CHARACTERS, RUN_COVERAGE = 18, 40, 0.8
@@ -105,8 +105,8 @@ class Reference:
         few_everywhere = {t for t in few for n, beside in [(documents or {}).get(t, (0, 0))] if n <= rare or beside > LEAKED_SHARE * n}
         self.own: list[dict[int, float]] = []  # weights of the positions of capitalised tokens that few items and documents have, and of figures
         usual = max(OWN_LEAST, USUAL_SHARE * len(groups))
-        often = {t for t, (n, _) in (documents or {}).items() if n > max(OWN_LEAST, USUAL_DOCUMENTS * total)}
-        self.named: list[dict[int, float]] = [{i: USUAL if with_token[t,] > usual or t in often and t not in few_everywhere else 1.0 for i, t in enumerate(unit) if t in names} for _, _, unit in self.units]
+        often = few - few_everywhere
+        self.named: list[dict[int, float]] = [{i: USUAL if with_token[t,] > usual or t in often else 1.0 for i, t in enumerate(unit) if t in names} for _, _, unit in self.units]
         self.seeds: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
         self.hits: list[int] = []  # seeds on one diagonal that a unit needs
         for number, (_, _, unit) in enumerate(self.units):
